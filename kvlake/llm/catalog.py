@@ -1,8 +1,9 @@
 """The registered queries of the corpus operators, and the SQL that gives the same rows."""
 
-from kvlake.llm import mixing
+from kvlake.llm import decontamination, mixing
 
 QUERIES = {
+    "op2_spaced_seeds": decontamination.op2_spaced_seeds,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 SQL = {
