@@ -1,12 +1,13 @@
 """The registered queries of the corpus operators, and the SQL that gives the same rows."""
 
-from kvlake.llm import decontamination, licenses, mixing, quality, secrets
+from kvlake.llm import decontamination, licenses, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op2_spaced_seeds": decontamination.op2_spaced_seeds,
     "op4_guess_cost": secrets.op4_guess_cost,
     "op6_ftrl_quality": quality.op6_ftrl_quality,
     "op7_signature_rules": licenses.op7_signature_rules,
+    "op8_string_kernel": toxicity.op8_string_kernel,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 SQL = {

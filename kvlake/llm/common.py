@@ -34,13 +34,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Split Arrow batches so that each has about SLICE_BYTES of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Split Arrow batches so that each has about `size` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // SLICE_BYTES
+        part = np.cumsum(sizes) // size
         starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             yield batch.slice(a, b - a)
