@@ -1,10 +1,11 @@
 """The registered queries of the corpus operators, and the SQL that gives the same rows."""
 
-from kvlake.llm import decontamination, licenses, mixing, quality, secrets, toxicity
+from kvlake.llm import decontamination, licenses, mixing, ngram_join, quality, secrets, toxicity
 
 QUERIES = {
     "op2_spaced_seeds": decontamination.op2_spaced_seeds,
     "op4_guess_cost": secrets.op4_guess_cost,
+    "op5_prefix_join": ngram_join.op5_prefix_join,
     "op6_ftrl_quality": quality.op6_ftrl_quality,
     "op7_signature_rules": licenses.op7_signature_rules,
     "op8_string_kernel": toxicity.op8_string_kernel,
