@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators, and the SQL that gives the same rows."""
 
-from kvlake.llm import decontamination, licenses, mixing, ngram_join, quality, secrets, toxicity
+from kvlake.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, quality, secrets, toxicity
 
 QUERIES = {
     "op2_spaced_seeds": decontamination.op2_spaced_seeds,
+    "op3_projection_forest": embedding_dedup.op3_projection_forest,
     "op4_guess_cost": secrets.op4_guess_cost,
     "op5_prefix_join": ngram_join.op5_prefix_join,
     "op6_ftrl_quality": quality.op6_ftrl_quality,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 SQL = {
+    "op3_projection_forest": embedding_dedup.OP3_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
 }
