@@ -1,8 +1,9 @@
 """The registered queries of the corpus operators, and the SQL that gives the same rows."""
 
-from kvlake.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, quality, secrets, toxicity
+from kvlake.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, pii, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_disclosure": pii.op1_disclosure,
     "op2_spaced_seeds": decontamination.op2_spaced_seeds,
     "op3_projection_forest": embedding_dedup.op3_projection_forest,
     "op4_guess_cost": secrets.op4_guess_cost,
