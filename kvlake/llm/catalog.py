@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and the SQL that gives the same rows."""
 
-from kvlake.llm import decontamination, embedding_dedup, licenses, mixing, ngram_join, pii, quality, secrets, toxicity
+from kvlake.llm import decontamination, embedding_dedup, html_extraction, licenses, mixing, ngram_join, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_disclosure": pii.op1_disclosure,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ftrl_quality": quality.op6_ftrl_quality,
     "op7_signature_rules": licenses.op7_signature_rules,
     "op8_string_kernel": toxicity.op8_string_kernel,
+    "op9_boosted_dom": html_extraction.op9_boosted_dom,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 SQL = {
