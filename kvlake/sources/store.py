@@ -1,0 +1,123 @@
+"""A versioned key/value store on Parquet: sorted runs, and a manifest that says which of them are live.
+
+Every write is a batch: it becomes one run, sorted by key and newest first, and a
+manifest patch that adds the run. Patches are rows of a Parquet folder; the state is
+their fold, so a run without its patch (a write that was lost midway) is not seen, and
+opening the store again recovers it. One writer at a time.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kvlake.operators import compaction, cursor, visible
+from kvlake.sources.tables import DELETION, VALUE
+
+RECORD = "k binary, v long, flag int, val binary"
+PATCH = "seq long, comparator string, last_version long, creates array<string>, deletes array<string>"
+COMPARATOR = "bytewise"
+
+
+class StoreError(Exception):
+    """A store that is missing, exists already, or was written under another order of keys."""
+
+
+class Store:
+    """One store under a path; `snapshot` values are versions."""
+
+    def __init__(self, spark: SparkSession, path: str, create: bool = False):
+        self.spark, self.path = spark, path
+        patches = self._patches()
+        if patches is None:
+            if not create:
+                raise StoreError(f"no store at {path}")
+            self._commit(0, 0, [], [])
+        elif patches.where(F.col("comparator") != COMPARATOR).limit(1).count():
+            raise StoreError("the store has another comparator")
+
+    def _patches(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(PATCH).parquet(f"{self.path}/manifest")
+        except AnalysisException:
+            return None
+
+    def _state(self) -> tuple[int, int, list[str]]:
+        """Sequence number, last version, and live runs: the fold of all patches."""
+        seq, version, live = 0, 0, []
+        for p in self._patches().orderBy("seq").collect():  # one row a write; compaction folds runs, not documents
+            seq, version = p["seq"], p["last_version"]
+            live = [r for r in live if r not in p["deletes"]] + list(p["creates"])
+        return seq, version, live
+
+    def _commit(self, seq: int, version: int, creates: list[str], deletes: list[str]) -> None:
+        row = [(seq, COMPARATOR, version, creates, deletes)]
+        self.spark.createDataFrame(row, PATCH).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _write_run(self, rows: DataFrame) -> str:
+        run = uuid.uuid4().hex
+        rows.repartitionByRange("k").sortWithinPartitions("k", F.col("v").desc()).write.parquet(f"{self.path}/runs/{run}")
+        return run
+
+    def log(self) -> DataFrame:
+        """All live records."""
+        runs = self._state()[2]
+        if not runs:
+            return self.spark.createDataFrame([], RECORD)
+        return self.spark.read.schema(RECORD).parquet(*[f"{self.path}/runs/{r}" for r in runs])
+
+    # Writing.
+
+    def write(self, ops: Iterable[tuple]) -> int:
+        """Apply ("put", key, value) and ("delete", key) atomically; the last version. An empty batch changes nothing."""
+        seq, version, _ = self._state()
+        rows = [(bytes(op[1]), version + i + 1, VALUE if op[0] == "put" else DELETION, bytes(op[2]) if op[0] == "put" else b"") for i, op in enumerate(ops)]
+        if not rows:
+            return version
+        self._commit(seq + 1, version + len(rows), [self._write_run(self.spark.createDataFrame(rows, RECORD))], [])
+        return version + len(rows)
+
+    def put(self, key: bytes, value: bytes) -> int:
+        return self.write([("put", key, value)])
+
+    def delete(self, key: bytes) -> int:
+        return self.write([("delete", key)])
+
+    def load(self, rows: DataFrame) -> int:
+        """Bulk load of unique (k, val): every record gets the next version, in one run."""
+        seq, version, _ = self._state()
+        run = self._write_run(rows.select(F.col("k").cast("binary").alias("k"), F.lit(version + 1).cast("long").alias("v"), F.lit(VALUE).alias("flag"), F.col("val").cast("binary").alias("val")))
+        self._commit(seq + 1, version + 1, [run], [])
+        return version + 1
+
+    # Reading.
+
+    def snapshot(self) -> int:
+        return self._state()[1]
+
+    def get(self, key: bytes, snapshot: int | None = None) -> bytes | None:
+        row = visible.get(self.log(), F.lit(bytearray(key)), snapshot).first()
+        return None if row is None else bytes(row["val"])
+
+    def scan(self, snapshot: int | None = None) -> DataFrame:
+        """Visible (k, v, val) in key order."""
+        return visible.visible(self.log(), snapshot).orderBy("k")
+
+    def seek(self, target: bytes, snapshot: int | None = None) -> DataFrame:
+        return cursor.seek(visible.visible(self.log(), snapshot), bytearray(target))
+
+    # Upkeep.
+
+    def compact(self, horizon: int | None = None) -> None:
+        """All runs to one, without what no read at a snapshot from the horizon on can see."""
+        seq, version, runs = self._state()
+        if runs:
+            kept = compaction.collect_garbage(self.log(), version if horizon is None else horizon)
+            self._commit(seq + 1, version, [self._write_run(kept)], runs)
+
+    def run_names(self) -> list[str]:
+        return self._state()[2]
