@@ -76,20 +76,24 @@ def to_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _not_stars(edges: DataFrame) -> DataFrame:
+    """Ids that keep the edges (u, v) from being stars: with two centres, or centre and point at once."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out")), F.struct(F.col("v").alias("id"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.min("out").alias("centre")).where("out > 1 or (out = 1 and centre = 0)")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """Connected components: (id, component), component the smallest id reachable.
 
     `links` has two id columns; ids without a link don't appear. Alternates
-    large-star and small-star steps (each a grouped minimum and a join), so
-    chains shrink by a factor each round and no group is gathered in one task.
+    large-star and small-star steps (each a grouped minimum and a join) until all
+    edges lead from an id to its component, so chains shrink by a factor each round
+    and no group is gathered in one task.
     """
     edges = keep(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
     for _ in range(rounds):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
+        if _not_stars(edges).isEmpty():
             break
-        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -100,3 +104,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def nearby_labels(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest id within two links (a, b) of each; ids of one label are connected, not all connected ones share it."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("m"))
+    two = one.select(F.col("id").alias("m"), F.col("m").alias("component"))
+    return keep(one.join(two, "m").select("id", "component"))

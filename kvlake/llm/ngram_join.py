@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import components, flat_words, keep, mix, slices, table, to_signed
+from kvlake.llm.common import components, flat_words, keep, mix, nearby_labels, slices, table, to_signed
 
 #: Shingles of K words; sets link from NUM / DEN on.
 K, NUM, DEN = 4, 85, 100
@@ -44,7 +44,7 @@ ORDER_BITS, BLOCKS = 18, 64
 #: Hash ranges of the suffix filter.
 SPANS = 48
 #: Rounds in which members meet one hub each, before the rest meets in full.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 #: Ids are broadcast up to this number; beyond it, texts are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -213,13 +213,11 @@ def join_classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, or
     classes = linked.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
     reps = classes.select("rep", "c1", "c2")
     found = docs.mapInArrow(_prefixes(shared, k, num, den), f"doc_id {kind}, n long, c1 long, c2 long, tokens array<long>, spans binary")
-    found = found.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "c1", "c2"], "left_semi").select("rep", "n", "tokens", "spans")
+    found = keep(found.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "c1", "c2"], "left_semi").select("rep", "n", "tokens", "spans"))
     placed = found.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "token")).repartition("token")
     shared_tokens = placed.groupBy("token").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first != last").select("token")
     members = keep(placed.join(shared_tokens, "token").select("token", "rep", "n", "pos"))
-    # What the suffix filter needs, of the representatives that meet others at all.
-    spans = docs.mapInArrow(_prefixes(shared, k, num, den), f"doc_id {kind}, n long, c1 long, c2 long, tokens array<long>, spans binary").select(F.col("doc_id").alias("rep"), "c1", "c2", "spans")
-    spans = keep(spans.join(reps, ["rep", "c1", "c2"], "left_semi").join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "spans").distinct())
+    spans = found.select("rep", "spans")
 
     def candidates(rows: DataFrame) -> DataFrame:
         """Rows (a, na, pa, b, nb, pb) that pass the filters, each pair once."""
@@ -230,38 +228,34 @@ def join_classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, or
         both_spans = pairs.join(spans.select(F.col("rep").alias("a"), F.col("spans").alias("spans_a")), "a").join(spans.select(F.col("rep").alias("b"), F.col("spans").alias("spans_b")), "b")
         return keep(both_spans.select("a", "b", "spans_a", "spans_b").mapInArrow(_suffix_filter(num, den), f"a {kind}, b {kind}").distinct())
 
-    links = None
-    checked = None
-    labels = None
+    links: DataFrame | None = None
+    checked: DataFrame | None = None
 
     def labelled(rows: DataFrame) -> DataFrame:
-        """Group members with the component they are in so far; only of groups that lie in more than one."""
-        if labels is not None:
-            rows = rows.drop("comp").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        else:
-            rows = rows.withColumn("comp", F.col("rep"))
-        split_groups = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-        return keep(rows.join(split_groups, "token").select("token", "rep", "n", "pos", "comp"))
+        """Group members with a label of what they are connected to so far; only of groups with more than one label."""
+        if links is not None:
+            labels = nearby_labels(links)
+            rows = rows.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            split_groups = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
+            return keep(rows.join(split_groups, "token").select("token", "rep", "n", "pos", "comp"))
+        return rows.withColumn("comp", F.col("rep"))
 
     def settle(pairs: DataFrame) -> None:
-        nonlocal links, checked, labels
+        nonlocal links, checked
         if checked is not None:
             pairs = keep(pairs.join(checked, ["a", "b"], "left_anti"))
         new = keep(similar_pairs(pairs, docs, k, num, den).select("a", "b").distinct())
-        checked = pairs if checked is None else keep(checked.unionByName(pairs))
-        links = new if links is None else keep(links.unionByName(new))
-        labels = keep(components(links))
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        links = new if links is None else links.unionByName(new)
 
     for round_ in range(hub_rounds):
-        members = labelled(members)
-        if members.isEmpty():
-            break
+        members = labelled(members.drop("comp"))
         rank = F.struct(F.lit(0).cast("long"), "rep") if round_ == 0 else F.struct(F.xxhash64(F.lit(round_), "rep"), F.col("rep"))
         hub = members.groupBy("token").agg(F.min_by(F.struct("rep", "n", "pos", "comp"), rank).alias("hub"))
         met = members.join(hub, "token").where("comp != hub.comp")
         pairs = candidates(met.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("hub.rep").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.pos").alias("pb")))
         settle(pairs)
-    members = labelled(members)
+    members = labelled(members.drop("comp"))
     if not members.isEmpty():
         largest = members.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
         outside = members.join(largest, "token").where("comp != largest")
@@ -276,14 +270,16 @@ def join_classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, or
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest id (and text, among rows of that id).
+    """`docs` with one document of each component: the one with the smallest id.
 
-    Rows with a null doc_id stay as they are.
+    Of several rows of that id the one with the smallest hash of all its columns
+    stays. Rows with a null doc_id stay as they are.
     """
-    heads = join_classes(docs, **options).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    none = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(none)
+    heads = join_classes(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("_id"), F.xxhash64(*docs.columns).alias("_row"))
+    best = rows.where("_id is not null").groupBy("_id").agg(F.min("_row").alias("_row")).join(heads, "_id")
+    kept = rows.join(best, ["_id", "_row"], "left_semi").dropDuplicates(["_id"])
+    return kept.select("whole.*").unionByName(docs.where("doc_id is null"))
 
 
 def op5_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
