@@ -149,7 +149,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms to the set bits of the filter, as bytes of a block, block by block."""
     door = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        door[batch.column("term").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+        door[(batch.column("term").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - FILTER_BITS)] = True
     packed = np.packbits(door)
     for i, part in enumerate(np.split(packed, 64)):
         if part.any():
