@@ -30,6 +30,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -488,6 +489,7 @@ def labelled(page: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[known], label[known], own[known]
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Boosted:
     """The trees, trained on generated pages alone."""
     found = [labelled(p) for p in generated(pages, seed)]

@@ -81,23 +81,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     copy counts the replicas of a document from 0; mix_key is the hash by which
     the rows are dealt out and sorted.
     """
-    docs = docs.drop("copy", "mix_key", "rate", "rate_source", "cdf", "copies")
     rates = source_rates(docs, weights, total)
     rates = rates.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE)).cast("int"))
     rates = rates.withColumn("cdf", _poisson_table(F.col("rate") / F.col("pieces"))).select("rate_source", "pieces", "cdf")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    first = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("u")))
-    rest = F.aggregate(F.slice(F.sequence(F.lit(1), F.col("pieces")), 2, F.col("pieces")), F.lit(0), lambda t, i: t + F.size(F.filter(F.col("cdf"), lambda c: c <= _unit(F.lit(seed), key, i.cast("string")))))
+    kept = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("source").alias("row_source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key"))
+    reached = lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u))
+    rest = F.aggregate(F.slice(F.sequence(F.lit(1), F.col("pieces")), 2, F.col("pieces")), F.lit(0), lambda n, i: n + reached(_unit(F.lit(seed), F.col("key"), i.cast("string"))))
     counted = (
-        docs.join(rates, docs["source"].eqNullSafe(rates["rate_source"]), "left")
-        .withColumn("u", _unit(F.lit(seed), key, F.lit("1")))
-        .withColumn("copies", first + F.when(F.col("pieces") > 1, rest).otherwise(0))
+        rows.join(rates, F.col("row_source").eqNullSafe(F.col("rate_source")), "left")
+        .withColumn("u", _unit(F.lit(seed), F.col("key"), F.lit("1")))
+        .withColumn("copies", reached(F.col("u")) + F.when(F.col("pieces") > 1, rest).otherwise(0))
     )
-    rows = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("copy").cast("string"))))
-    return rows.select(*docs.columns, F.col("copy").cast("long").alias("copy"), "mix_key").orderBy("mix_key")
+    copied = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    mix_key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "key", F.col("copy").cast("string")))
+    return copied.select("row.*", F.col("copy").cast("long").alias("copy"), mix_key.alias("mix_key")).orderBy("mix_key")
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
