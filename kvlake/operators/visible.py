@@ -14,10 +14,11 @@ BROADCAST_KEYS = 100_000
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest record of each key with a version of at most the snapshot, deletions too.
 
-    One grouped aggregation with partial results before the shuffle; the log is not sorted.
+    One grouped aggregation with partial results before the shuffle. Each column has its own
+    maximum, as buffers of plain numbers are hashed where a struct would have the log sorted.
     """
     rows = log if snapshot is None else log.where(F.col("v") <= snapshot)
-    return rows.groupBy("k").agg(F.max(F.struct("v", "flag", "val")).alias("r")).select("k", "r.v", "r.flag", "r.val")
+    return rows.groupBy("k").agg(F.max("v").alias("newest"), F.max_by("flag", "v").alias("flag"), F.max_by("val", "v").alias("val")).select("k", F.col("newest").alias("v"), "flag", "val")
 
 
 def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
