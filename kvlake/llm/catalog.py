@@ -16,5 +16,6 @@ QUERIES = {
 }
 SQL = {
     "op3_projection_forest": embedding_dedup.OP3_SQL,
+    "op5_prefix_join": ngram_join.OP5_SQL,
     "op10_poisson_mix": mixing.OP10_SQL,
 }
