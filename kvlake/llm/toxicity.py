@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import SLICE_BYTES, slices, table, word_hashes
+from kvlake.llm.common import SLICE_BYTES, mix, slices, table, word_hashes
 from kvlake.llm.labelled import held_out, sample
 
-ORDER, DECAY = 4, 0.9
+ORDER, DECAY = 4, 0.7
 WINDOW, STEP = 24, 12
 #: Bounds of training: texts, landmarks of either kind, sentences of either kind.
 TRAIN_ROWS, LANDMARKS, SENTENCES = 2400, 32, 6000
@@ -268,8 +268,23 @@ def telling_parts(texts: list[set[bytes]], labels: list[int]) -> list[bytes]:
     return chosen
 
 
+def _without_copies(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
+    """The sample without near copies, which would make words telling that only copies share: texts that agree in three of the smallest word hashes in a row."""
+    seen: set[tuple] = set()
+    kept = []
+    for i, t in enumerate(texts):
+        h = np.unique(word_hashes(words_of(t) or [b""]))
+        least = [int(mix(h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for k in range(24)]
+        bands = {(k, *least[k : k + 3]) for k in range(0, 24, 3)}
+        if not bands & seen:
+            kept.append(i)
+        seen |= bands
+    return [texts[i] for i in kept], [labels[i] for i in kept]
+
+
 def fit(texts: list[str], labels: list[int]) -> Model | None:
     """Landmarks, Nyström map and support vector machine from labelled texts."""
+    texts, labels = _without_copies(texts, labels)
     sets = [{marked(w) for w in words_of(t)} for t in texts]
     telling = telling_parts(sets, labels)
     if not telling:
