@@ -1,16 +1,18 @@
 """Operator 1: personal data, with information-theoretic disclosure of terms around it.
 
 Fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers:
-the protected entities. Terms that stand near an entity may reveal it as well. Over
-the whole corpus it is counted in how many documents an entity, a term, and both
-close together occur. The pointwise mutual information of term and entity, as a
+the protected entities. Terms that stand near an entity may reveal it as well: those
+within NEAR words of it in SUPPORT documents are candidates. Over the whole corpus it is
+counted in how many documents an entity, a candidate, and both occur, anywhere in the
+document. The pointwise mutual information of term and entity, as a
 share of the information of the entity itself,
 
     disclosure = log(N * n(term, entity) / (n(term) * n(entity))) / log(N / n(entity))
 
 is 1 for a term that stands nowhere but with the entity, and near 0 for one that is
 everywhere. Where it exceeds GENERALISE the term is replaced by a general name, and
-where it exceeds REMOVE it is removed. Estimates need support: an entity and a pair count
+where it exceeds REMOVE it is removed: at every place of every document, near an entity
+or not, by the term's highest disclosure over all entities. Estimates need support: an entity and a pair count
 only from SUPPORT documents on.
 
 Term spans have the kinds `general` and `remove`. Offsets are code points, end
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import SLICE_BYTES, keep, slices, table
+from kvlake.llm.common import SLICE_BYTES, keep, mix, slices, table
 from kvlake.llm.secrets import joined
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -43,6 +45,8 @@ GENERALISE, REMOVE, SUPPORT = 0.6, 0.9, 3
 TERM = 3
 #: Bits of the filter that lets candidate terms through when the corpus is counted; its size is fixed.
 FILTER_BITS = 24
+#: Telling terms are broadcast up to this number (16 bytes each); beyond it, their places come from a shuffled join.
+BROADCAST_TERMS = 1_000_000
 
 # Fixed patterns of the base kinds. An address is found from its @, as its left part only ends there.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,6 +104,15 @@ def term(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "replace")) - (1 << 63)
 
 
+def text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def pair_hashes(entities: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """One hash for each pair of entity and term (signed, as all hashes in columns)."""
+    return mix(mix(entities.view(np.uint64)) + terms.view(np.uint64)).view(np.int64)
+
+
 def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
     """(entity, term, start, end) of the terms within NEAR words of each entity."""
     found = []
@@ -125,6 +138,7 @@ def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -138,18 +152,24 @@ def _find(with_text: bool):
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
                 near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(text, spans)])
-                key.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63) if spans else 0)
+                key.append(text_key(text))
             texts = batch.column("text") if with_text else pa.nulls(batch.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(key, pa.int64()), pa.array(base, _SPANS), pa.array(near, _NEAR)], ["doc_id", "text", "text_key", "base", "near"])
 
     return find
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    """The bit of the filter that a signed hash has."""
+    return (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - FILTER_BITS)
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms to the set bits of the filter, as bytes of a block, block by block."""
+    """Terms, or entities and terms, to the set bits of the filter, as bytes of a block, block by block."""
     door = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        door[(batch.column("term").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - FILTER_BITS)] = True
+        h = batch.column("term").to_numpy()
+        door[_slot(pair_hashes(batch.column("entity").to_numpy(), h) if "entity" in batch.schema.names else h)] = True
     packed = np.packbits(door)
     for i, part in enumerate(np.split(packed, 64)):
         if part.any():
@@ -166,30 +186,51 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["block", "bits"])
 
 
+def _filter(hashes: DataFrame) -> bytes:
+    """The filter of all rows of `hashes` (term, or entity and term)."""
+    blocks = hashes.mapInArrow(_bits, "block int, bits binary").repartition(64, "block").mapInArrow(_or_bits, "block int, bits binary").collect()  # 64 rows, 2**FILTER_BITS bits
+    size = (1 << FILTER_BITS) // 8 // 64
+    by_block = {r["block"]: bytes(r["bits"]) for r in blocks}
+    return b"".join(by_block.get(i, bytes(size)) for i in range(64))
+
+
+def _door(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+
+
+class _Candidates(dict):
+    """Word to the hash of its term where the filter lets it through, else 0; bounded."""
+
+    def __init__(self, bits: bytes):
+        self.door = _door(bits)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = term(word)
+        h = self[word] = h if self.door[(h + (1 << 63)) >> (64 - FILTER_BITS)] else 0
+        return h
+
+
 def _count_terms(shared):
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts to (term, n): in how many of a slice's texts each candidate term stands."""
-        door = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        known: dict[str, int] = {}
+        """Texts to (entity, term, n): in how many of a slice's texts each candidate term stands (entity null), and each candidate pair."""
+        candidates, pairs = _Candidates(shared.value[0]), _door(shared.value[1])
         for batch in slices(batches, size=4 * SLICE_BYTES):
-            counts: dict[int, int] = {}
+            counts: dict[tuple[int | None, int], int] = {}
             for text in batch.column("text").to_pylist():
                 if not text:
                     continue
-                own = set()
-                for w in set(_WORD.findall(text)):
-                    h = known.get(w)
-                    if h is None:
-                        h = term(w)
-                        h = known[w] = h if door[(h + (1 << 63)) >> (64 - FILTER_BITS)] else 0
-                        if len(known) > 400_000:
-                            known.clear()
-                    if h:
-                        own.add(h)
+                own = {h for w in set(_WORD.findall(text)) if (h := candidates[w])}
                 for h in own:
-                    counts[h] = counts.get(h, 0) + 1
+                    counts[None, h] = counts.get((None, h), 0) + 1
+                if own and (spans := base_spans(text)):
+                    terms = np.fromiter(own, np.int64, len(own))
+                    for e in {e for e, *_ in near_terms(text, spans)}:
+                        for h in terms[pairs[_slot(pair_hashes(np.array([e]), terms))]].tolist():
+                            counts[e, h] = counts.get((e, h), 0) + 1
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.int64()), pa.array([h for _, h in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
 
     return count_terms
 
@@ -200,33 +241,60 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     n_docs = found.count()
     near = found.where(F.size("near") > 0).select(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"]))).alias("pairs"))
     entities = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    pairs = near.select(F.explode("pairs").alias("p")).select("p.entity", "p.term").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    pairs = keep(pairs.join(entities, "entity"))
-    blocks = pairs.select("term").distinct().mapInArrow(_bits, "block int, bits binary").repartition(64, "block").mapInArrow(_or_bits, "block int, bits binary").collect()  # 64 rows, 2**FILTER_BITS bits
-    size = (1 << FILTER_BITS) // 8 // 64
-    by_block = {r["block"]: bytes(r["bits"]) for r in blocks}
-    shared = spark.sparkContext.broadcast(b"".join(by_block.get(i, bytes(size)) for i in range(64)))
-    counted = docs.select("text").mapInArrow(_count_terms(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    pairs = near.select(F.explode("pairs").alias("p")).select("p.entity", "p.term").groupBy("entity", "term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= SUPPORT)
+    pairs = keep(pairs.join(entities, "entity").select("entity", "term", "n_entity"))
+    shared = spark.sparkContext.broadcast((_filter(pairs.select("term").distinct()), _filter(pairs.select("entity", "term"))))
+    counted = keep(docs.select("text").mapInArrow(_count_terms(shared), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")))
+    terms = counted.where("entity is null").select("term", F.col("n").alias("n_term"))
+    both = counted.where("entity is not null").select("entity", "term", F.col("n").alias("n_both"))
     n = F.lit(float(max(2, n_docs)))
     told = F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
-    return pairs.join(counted, "term").where(F.col("n_entity") < n).select("entity", "term", F.least(told, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return pairs.join(both, ["entity", "term"]).join(terms, "term").where(F.col("n_entity") < n).select("entity", "term", F.least(told, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
-def find_personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def _places(shared):
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) to (doc_id, text_key, term, places): all places of each term that the filter lets through, outside of entities."""
+        candidates = _Candidates(shared.value)
+        for batch in slices(batches):
+            row, key, terms, places = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if not text or not any(candidates[w] for w in set(_WORD.findall(text))):
+                    continue
+                inside = np.zeros(len(text) + 1, bool)
+                for a, b, _ in base_spans(text):
+                    inside[a:b] = True
+                own: dict[int, list[dict[str, int]]] = {}
+                for m in _WORD.finditer(text):
+                    if (h := candidates[m[0]]) and not inside[m.start() : m.end()].any():
+                        own.setdefault(h, []).append({"start": m.start(), "end": m.end()})
+                row += [i] * len(own)
+                key += [text_key(text)] * len(own)
+                terms += own
+                places += own.values()
+            if row:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(key, pa.int64()), pa.array(terms, pa.int64()), pa.array(places, _PLACES)], ["doc_id", "text_key", "term", "places"])
+
+    return places
+
+
+def find_personal_data(docs: DataFrame, with_text: bool = False, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """doc_id, text, base spans and all spans (kind, start, end) of each row of `docs`; text is null unless asked for."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,end:long>>"
     found = keep(docs.mapInArrow(_find(with_text), f"doc_id {kind}, text string, text_key long, base {spans}, near array<struct<entity:long,term:long,start:long,end:long>>"))
-    risky = disclosures(docs, found)
-    places = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode(F.array_distinct("near")).alias("x")).select("doc_id", "text_key", "x.*")
-    told = places.join(risky, ["entity", "term"])
-    told = told.groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    added = told.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("general").alias("kind"), "start", "end")).alias("added"))
-    added = added.withColumnRenamed("doc_id", "its_id").withColumnRenamed("text_key", "its_key")
-    with_terms = found.where(F.size("near") > 0).join(added, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key")), "left")
-    without = found.where(F.size("near") == 0).select("doc_id", "text", "base", F.lit(None).cast(spans).alias("added"))
-    rows = with_terms.select("doc_id", "text", "base", "added").unionByName(without)
+    risky = keep(disclosures(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    n_risky = risky.limit(broadcast_terms + 1).count()
+    rows = found.select("doc_id", "text", "base", F.lit(None).cast(spans).alias("added"))
+    if n_risky:
+        shared = spark.sparkContext.broadcast(_filter(risky.select("term")))
+        places = docs.mapInArrow(_places(shared), f"doc_id {kind}, text_key long, term long, places array<struct<start:long,end:long>>")
+        level = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("general")
+        told = places.join(F.broadcast(risky) if n_risky <= broadcast_terms else risky, "term").select("doc_id", "text_key", F.transform("places", lambda x: F.struct(level.alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("s"))
+        added = told.groupBy(F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key")).agg(F.flatten(F.collect_set("s")).alias("added"))
+        rows = found.join(added, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_key") == F.col("its_key")), "left").select("doc_id", "text", "base", "added")
     order = F.array(*[F.lit(k) for k in KINDS])
     sort_key = F.transform(F.concat("base", F.coalesce("added", F.array().cast(spans))), lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return rows.select("doc_id", "text", "base", F.transform(F.array_sort(sort_key), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))

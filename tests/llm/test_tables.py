@@ -211,6 +211,21 @@ def test_terms_that_disclose(spark):
     assert clean[1] == "common words before [TERM] [EMAIL] common words after"
 
 
+def test_terms_that_disclose_are_marked_everywhere(spark):
+    far = " other words" * 30
+    rows = [(i, f"common words before zanzibar joe@x.org common words after{far} Zanzibar again" + (" quux" if i > 2 else " quux joe@x.org quux")) for i in range(8)]
+    rows += [(50, f"words and zanzibar alone{far}"), *[(100 + i, "common words here and before or after other words again") for i in range(60)]]
+    docs = spark.createDataFrame([*rows, (None, "null id, zanzibar"), (None, None)], "doc_id long, text string")
+    for bound in (pii.BROADCAST_TERMS, 0):
+        found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs, broadcast_terms=bound).where("doc_id is not null").collect()}
+        marked = {i: [rows_text(rows, i)[s["start"] : s["end"]] for s in spans if s["kind"] in ("general", "remove")] for i, spans in found.items()}
+        # quux is near the address in 3 texts only, but stands in all 8 of its texts and nowhere else
+        assert marked[0] == ["zanzibar", "Zanzibar", "quux", "quux"] and marked[7] == ["zanzibar", "Zanzibar", "quux"]
+        assert marked[50] == ["zanzibar"] and marked[100] == []
+    clean = {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs).where("clean_text is not null").collect()}
+    assert not any("zanzibar" in t.lower() for t in clean.values()) and len(clean) == 70
+
+
 def rows_text(rows, doc_id):
     return dict(rows)[doc_id]
 
