@@ -31,8 +31,8 @@ from kvlake.llm.common import slices, table
 KINDS = ("assign", "access", "hex", "guess")
 #: A value in a credential context is a secret from so many bits of guessing.
 GUESS_BITS = 40.0
-#: Longest part of a value that is priced (a longer value costs no less than its start).
-PRICED = 64
+#: Longest block of a repeat. Values up to CACHED characters are priced once.
+BLOCK, CACHED = 8, 200
 
 # Fixed patterns of the base kinds.
 _ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -44,10 +44,10 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _CONTEXT_KEYS = ("passphrase", "pwd", "credential", "bearer", "authorization", "private key", "private_key", "access key", "access_key", "passcode", "password", "passwd", "secret", "token", "api", "client_id", "signature")
 _CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)|pwd|credentials?|bearer|authorization|secret|token|(?:private|access|api)[ _-]?key|client_id|signature)"
-    r"[\"']?[ \t]{0,4}(?:is[ \t]|=>|:=|[:= \t])[ \t]{0,4}(?:(?:basic|bearer)[ \t]{1,4})?[\"'`]?([!-~]{6,200})",
+    r"[\"']?[ \t]{0,4}(?:is[ \t]|=>|:=|[:= \t])[ \t]{0,4}(?:(?:basic|bearer)[ \t]{1,4})?[\"'`]?([!-~]{6,})",
     re.IGNORECASE | re.ASCII,
 )
-_ADDRESS = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{4,200})@")
+_ADDRESS = re.compile(r"://[^\s/:@]++:([^\s/@]{4,}+)@")
 
 # Word list of common passwords and names, in order of how early they are guessed.
 _COMMON = """password admin welcome letmein qwerty secret changeme default login root test guest user master dragon monkey
@@ -83,32 +83,41 @@ def _case_bits(part: str) -> float:
     return math.log2(sum(math.comb(len(part), k) for k in range(1, min(upper, len(part) - upper) + 1)) or 1) + 1
 
 
-@lru_cache(maxsize=50_000)
-def guess_bits(value: str) -> float:
-    """The least sum of bits over all ways to split the value into guessable spans."""
-    value = value[:PRICED]
+def guess_bits(value: str, limit: float = GUESS_BITS) -> float:
+    """The least sum of bits over all ways to split the value into guessable spans; of a long value, a lower bound once that has reached the limit."""
+    return _cached_bits(value, limit) if len(value) <= CACHED else _least_bits(value, limit)
+
+
+def _least_bits(value: str, limit: float) -> float:
     n, lower = len(value), value.lower()
     plain = lower.translate(_PLAIN)
-    costs: dict[int, list[tuple[int, float]]] = {}
+    brute, best = _brute(value), [math.inf] * (n + 1)
+    best[0] = 0.0
+    # Repeats that may go on, by block size and phase: (start, bits before and of the block), worse ones left out.
+    streak = [0] * (BLOCK + 1)
+    repeats: list[list[list[tuple[int, float]]]] = [[[] for _ in range(size)] for size in range(BLOCK + 1)]
 
     def add(start: int, end: int, bits: float) -> None:
-        costs.setdefault(end, []).append((start, bits))
+        best[end] = min(best[end], best[start] + bits + 1.0)
 
     for a in range(n):
+        for size in range(1, min(BLOCK, a - 1) + 1):  # repeats of a block, that end here
+            streak[size] = streak[size] + 1 if lower[a - 1] == lower[a - 1 - size] else 0
+            _repeat(value, a, size, streak[size], repeats[size][a % size], best, limit)
+        if a >= 64 and a & (a - 1) == 0:  # no way on is cheaper than the cheapest way to here or beyond
+            least = min(min(best[a - 2 * BLOCK :]), *(w for sizes in repeats for phase in sizes for _, w in phase), math.inf)
+            if least >= limit:
+                return least
+        best[a + 1] = min(best[a + 1], best[a] + brute[a])
         for b in range(a + 2, min(n, a + _LONGEST) + 1):  # words, also written with digits for letters
             for spelt, more in ((lower[a:b], 0.0), (plain[a:b], 1.0)):
                 if rank := _RANK.get(spelt):
                     add(a, b, math.log2(rank) + _case_bits(value[a:b]) + more)
         if m := _DATE.match(value, a):  # dates: years close to now are guessed first
             add(a, m.end(), {4: 7.0}.get(m.end() - a, 15.5))
-        for size in range(1, min(8, (n - a) // 2) + 1):  # repeats of a block
-            b = a + size
-            while lower[b : b + size] == lower[a : a + size]:
-                b += size
-                add(a, b, min(size * 4.7, guess_bits(value[a : a + size]) if size > 1 else 4.7) + math.log2((b - a) // size))
         b, turns = a + 1, 0
         step = None
-        while b < n and lower[b] in _AT and lower[b - 1] in _AT:  # walks over neighbouring keys
+        while b < n and lower[b] in _AT and lower[b - 1] in _AT and (n <= 64 or 2.6 * turns < limit):  # walks over neighbouring keys
             move = (_AT[lower[b]][0] - _AT[lower[b - 1]][0], _AT[lower[b]][1] - _AT[lower[b - 1]][1])
             if abs(move[0]) > 1 or abs(move[1]) > 1 or move == (0, 0):
                 break
@@ -121,12 +130,31 @@ def guess_bits(value: str) -> float:
             b += 1
             if b - a >= 3:
                 add(a, b, math.log2(36) + math.log2(b - a) + 1)
-    brute, best = _brute(value), [0.0] * (n + 1)
-    for end in range(1, n + 1):
-        best[end] = min([best[end - 1] + brute[end - 1], *(best[a] + bits + 1.0 for a, bits in costs.get(end, ()))])
+    for size in range(1, min(BLOCK, n - 1) + 1):
+        streak[size] = streak[size] + 1 if lower[n - 1] == lower[n - 1 - size] else 0
+        _repeat(value, n, size, streak[size], repeats[size][n % size], best, limit)
     return best[n]
 
 
+_cached_bits = lru_cache(maxsize=50_000)(_least_bits)
+
+
+def _repeat(value: str, end: int, size: int, streak: int, starts: list[tuple[int, float]], best: list[float], limit: float) -> None:
+    """Price the repeats of a block of `size` that end here. `starts` has those of this phase, each worth keeping while it is the cheapest at some length."""
+    if streak < size:
+        starts.clear()
+        return
+    a = end - 2 * size
+    block = value[a : a + size]
+    w = best[a] + (min(size * 4.7, guess_bits(block, limit)) if size > 1 else 4.7)
+    while starts and starts[-1][1] >= w:
+        starts.pop()
+    starts.append((a, w))
+    while len(starts) > 1 and starts[-1][1] >= starts[-2][1] + math.log2((end - starts[-2][0]) / (end - starts[-1][0])):
+        starts.pop()
+    best[end] = min(best[end], *(w + math.log2((end - a) // size) + 1.0 for a, w in starts), math.inf)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     low = text.lower()
@@ -146,7 +174,7 @@ def guess_spans(text: str, bits: float = GUESS_BITS) -> list[tuple[int, int, str
     for pattern in patterns:
         for m in pattern.finditer(text):
             value = m[1].rstrip("\"'`,;.)>]}")
-            if len(value) >= 6 and not value.isalpha() and guess_bits(value) >= bits:
+            if len(value) >= 6 and not value.isalpha() and guess_bits(value, bits) >= bits:
                 found.append((m.start(1), m.start(1) + len(value), "guess"))
     return sorted(set(found))
 

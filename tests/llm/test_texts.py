@@ -70,6 +70,33 @@ def test_costly_values_are_secrets(text):
     assert secrets.guess_bits(text[a:b]) >= secrets.GUESS_BITS
 
 
+def test_long_values_are_found_whole():
+    letters = random.Random(8)
+    value = "".join(letters.choices("abcdefghijkmnopqrstuvwxyzABCDEFGH23456789", k=510))
+    text = f"Authorization: Bearer {value} end"
+    assert secrets.guess_spans(text) == [(22, 532, "guess")] and secrets.redact(text, secrets.guess_spans(text)) == "Authorization: Bearer [SECRET] end"
+    for user, word in (("u" * 70, value[:20]), ("user", value)):
+        assert [s[1] - s[0] for s in secrets.guess_spans(f"db://{user}:{word}@host")] == [len(word)]
+    for cheap in ("a" * 64, "abcd1234" * 40, "password" * 2 + "1" * 300):  # a random tail after a cheap start
+        assert secrets.guess_bits(cheap) < secrets.GUESS_BITS <= secrets.guess_bits(cheap + "xK9#mQ2$vL8wZ4")
+        assert secrets.guess_spans(f"pwd = {cheap}xK9#mQ2$vL8wZ4")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "aB", "abc", "hello", "x7", "1999"]), min_size=1, max_size=14))
+def test_repeats_are_priced_as_by_all_starts(parts):
+    value = "".join(parts)
+    n, low = len(value), value.lower()
+    best = secrets.guess_bits(value, float("inf"))
+    for a in range(n):
+        for size in range(1, 9):
+            for k in range(2, (n - a) // size + 1):
+                if low[a : a + size] * k == low[a : a + size * k]:
+                    block = min(size * 4.7, secrets.guess_bits(value[a : a + size])) if size > 1 else 4.7
+                    brute = secrets._brute(value)[0]
+                    assert best <= a * brute + block + np.log2(k) + 1 + (n - a - size * k) * brute + 1e-9
+
+
 def test_guess_cost_is_the_least_split():
     parts = ("password", "1999", "qwerty", "aaaa")
     whole = secrets.guess_bits("".join(parts))
