@@ -6,7 +6,9 @@ bearer, or between scheme, user and host of an address) are judged by how many
 guesses they would take: dynamic programming splits a value into words, dates,
 repeats, keyboard walks and brute-force spans so that the sum of their costs, in
 bits, is least. Values of GUESS_BITS or more are added as spans of kind `guess`:
-a placeholder such as `changeme2024` is cheap, a real secret is not.
+a placeholder such as `changeme2024` is cheap, a real secret is not. Values of letters
+only are judged in the same way; a word of prose in a context is cheap if it is short
+or on the word list.
 
 Offsets are code points, end exclusive. Spans are ordered by start, then kind in
 the order of KINDS. Defined cases: a null text counts as empty; an empty text
@@ -40,8 +42,8 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-# Contexts in which a value may be a credential; the value is the group.
-_CONTEXT_KEYS = ("passphrase", "pwd", "credential", "bearer", "authorization", "private key", "private_key", "access key", "access_key", "passcode", "password", "passwd", "secret", "token", "api", "client_id", "signature")
+# Contexts in which a value may be a credential; the value is the group. Each has one of the keys, in lower case.
+_CONTEXT_KEYS = ("passphrase", "pwd", "credential", "bearer", "authorization", "key", "passcode", "password", "passwd", "secret", "token", "client_id", "signature")
 _CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)|pwd|credentials?|bearer|authorization|secret|token|(?:private|access|api)[ _-]?key|client_id|signature)"
     r"[\"']?[ \t]{0,4}(?:is[ \t]|=>|:=|[:= \t])[ \t]{0,4}(?:(?:basic|bearer)[ \t]{1,4})?[\"'`]?([!-~]{6,})",
@@ -57,7 +59,30 @@ michael jennifer thomas jordan hunter ranger buster george charlie andrew michel
 computer internet server database production staging access private public company office samsung google secure system
 manager account service client pass word god money orange banana apple cheese flower purple yellow silver golden tiger
 eagle lion wolf the and for with from this that not are was have new old my""".split()
-_RANK = {w: i + 2 for i, w in reversed(list(enumerate(dict.fromkeys(_COMMON))))}
+# Long words of prose and endings, guessed after those; shorter words are cheap in any case.
+_PROSE = """tion sion ment ness able ible ings ship ally ated ates izer ization
+management authentication authorization authorisation protected protection required requirements parameter parameters
+embedding embeddings generation generator generated validation validator verification verifier verified expiration expired
+expires exchange encryption encrypted decryption encoding configuration configured credentials credential information
+provider providers available necessary mandatory important different following according algorithm algorithms
+cryptography cryptographic certificate certificates signature signatures structure structures interface interfaces
+reference references documentation documents application applications development developer developers environment
+environments production deployment infrastructure permission permissions requested requests responses response
+revocation revoked rotation rotating recovery resetting remembered forgotten complexity strength security securely
+confidential classified ingredient ingredients relationship relationships agreement agreements operation operations
+organization organisation government intelligence identifier identifiers identification identity attribute attributes
+governance controlled controller compliance compromised vulnerability vulnerabilities transmitted transmission transaction
+transactions classification sequence sequences prediction predictions probability probabilities vocabulary limitations
+integration integrations endpoints specification standards technology technologies description describes described
+definition definitions collection collections container containers distribution distributed duplicated automatically
+previously separately correctly incorrect incorrectly invalid currently originally typically generally especially
+sometimes something everything everybody everyone themselves themselves yourself ourselves otherwise therefore however
+whether together understand understanding understood knowledge discovered discovery mysterious passageway passages
+chambers societies admirer recipes question questions personal temporary permanent protocols mechanism mechanisms
+approach approaches experience experiences communication communications characters character alphanumeric uppercase
+lowercase minimum maximum length includes including contains containing provided providing accepted accepting rejected
+storage stored encrypting hashing plaintext cleartext undefined unspecified unauthorized unauthenticated forbidden""".split()
+_RANK = {w: i + 2 for i, w in reversed(list(enumerate(dict.fromkeys(_COMMON + _PROSE))))}
 _LONGEST = max(map(len, _RANK))
 _PLAIN = str.maketrans("@4301!5$7", "aaeolisst")
 _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -174,7 +199,7 @@ def guess_spans(text: str, bits: float = GUESS_BITS) -> list[tuple[int, int, str
     for pattern in patterns:
         for m in pattern.finditer(text):
             value = m[1].rstrip("\"'`,;.)>]}")
-            if len(value) >= 6 and not value.isalpha() and guess_bits(value, bits) >= bits:
+            if len(value) >= 6 and guess_bits(value, bits) >= bits:
                 found.append((m.start(1), m.start(1) + len(value), "guess"))
     return sorted(set(found))
 

@@ -70,6 +70,19 @@ def test_costly_values_are_secrets(text):
     assert secrets.guess_bits(text[a:b]) >= secrets.GUESS_BITS
 
 
+def test_values_of_letters_only_are_priced():
+    assert secrets.guess_spans("pwd: qzvkxwjrmthbplcgndfyqkxw") == [(5, 29, "guess")]
+    for prose in ("password authentication required", "the secret relationship", "token embeddings, and", "Authorization: Required"):
+        assert secrets.guess_spans(prose) == []
+
+
+@pytest.mark.parametrize("sep", ["", "-", "_", " "])
+@pytest.mark.parametrize("word", ["private", "access", "api", "SharedAccess"])
+def test_each_context_passes_the_gate(word, sep):
+    text = f"{word}{sep}Key=xK9#mQ2$vL8w"
+    assert [text[a:b] for a, b, _ in secrets.guess_spans(text)] == ["xK9#mQ2$vL8w"]
+
+
 def test_long_values_are_found_whole():
     letters = random.Random(8)
     value = "".join(letters.choices("abcdefghijkmnopqrstuvwxyzABCDEFGH23456789", k=510))
