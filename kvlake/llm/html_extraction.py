@@ -52,7 +52,9 @@ _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td
 _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTR = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+# One attribute after another, from the start of the tag: name, and value if there is one.
+_ATTR = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"']\S*)))?")
+_NAMED = frozenset("class id role itemprop aria-label".split())
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")
 
@@ -89,9 +91,9 @@ def _attributes(text: str) -> tuple[frozenset[int], bool]:
     groups, hidden = set(), False
     for m in _ATTR.finditer(text):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             hidden = True
-        elif name != "style":
+        elif name in _NAMED:
             groups.update(_GROUP_OF[w] for w in _PARTS.findall(value) if w in _GROUP_OF)
     return frozenset(groups), hidden
 

@@ -214,6 +214,15 @@ def test_main_text_of_a_page():
     assert (plain, empty, none) == ("no markup & all", "", "")
 
 
+def test_attributes_are_read_by_their_names():
+    for shown in (' href="/hidden-falls"', ' title="The hidden truth"', ' data-state="hidden"', ' aria-hidden="false"', " href=/a/hidden", ' alt="style=display:none"', ' title="a class=nav b"', ' data-class="nav"', " title = 'hidden' /"):
+        assert html_extraction._attributes(shown) == (frozenset(), False), shown
+    for hidden in (" hidden", ' HIDDEN=""', ' href="x" hidden', ' aria-hidden="true"', " style='display: none'", ' title="x"style="visibility:hidden"', ' hidden="until-found"'):
+        assert html_extraction._attributes(hidden) == (frozenset(), True), hidden
+    groups = list(html_extraction.GROUPS)
+    assert {groups[g] for g in html_extraction._attributes(' data-x="1" class="article-body" ID=sidebar role=\'navigation\'')[0]} == {"main", "side", "menu"}
+
+
 def test_trees_on_pages_not_trained_on():
     model = html_extraction.train()
     right = [((model.margins(x) > 0) == (y > 0)).mean() for x, y, _ in map(html_extraction.labelled, html_extraction.generated(60, 99))]
