@@ -5,6 +5,8 @@ at each position of each benchmark item and of each document, is compared; a
 common hash puts the item on a diagonal of the document. Around such hits the two
 texts are compared token by token along the diagonal, so substitutions are
 tolerated, and the longest stretch with enough equal tokens is the overlap.
+An overlap begins and ends with an equal token, so an item of SHORT tokens or fewer,
+too short for the masks, has one seed more: its first and last token.
 
 Tokens are runs of ASCII letters, digits and non-ASCII bytes after lower-casing
 A-Z; everything else separates.
@@ -18,7 +20,7 @@ rows. Other columns of the inputs are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 
 from kvlake.llm.common import flat_words, keep, mix, slices, table, to_signed
 
-#: Fixed spaced seeds: 1 keeps a token, 0 ignores it. Weight 6, spans 8 to 11.
+#: Fixed spaced seeds: 1 keeps a token, 0 ignores it. Weight 6 or 7, spans 8 to 13.
 MASKS = ("11101011", "1101100101", "10110010011", "1100101000111")
 #: An overlap has so many tokens at least, of which so many in ten are equal.
 MIN_WORDS, TENTHS = 13, 8
+#: Items of up to so many tokens are sought by their first and last token as well.
+SHORT = 13
 #: Benchmark hashes are broadcast up to this number (12 bytes each); beyond it, hits come from a shuffled join.
 BROADCAST_HASHES = 1_000_000
 #: Ids of hit documents are broadcast up to this number.
@@ -43,8 +47,11 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_KEPT).split()
 
 
-def seeds(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: hashes, text number and token position of all places in the texts."""
+def seeds(words: np.ndarray, ends: np.ndarray, lengths: Sequence[int] = (), whole_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each mask, and the first and last of each of `lengths` tokens: hashes, text number and token position of all places in the texts.
+
+    With whole_only, the seeds of `lengths` are those of whole texts.
+    """
     owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     place = np.arange(len(words)) - ends[owner]
     left = ends[owner + 1] - np.arange(len(words))
@@ -55,21 +62,37 @@ def seeds(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.
             if bit == "1":
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[whole + k])
         yield h, owner[whole], place[whole]
+    for n in lengths:
+        whole = np.flatnonzero((left == n) & (place == 0) if whole_only else left >= n)
+        h = mix(words[whole] + np.uint64((len(MASKS) + n) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[whole + n - 1])
+        yield h, owner[whole], place[whole]
 
 
 def _bytes(column) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (h, id, at): every seed of every text."""
-    for batch in slices(batches):
-        words, ends = flat_words(_bytes(batch.column(1)), tokens)
-        for h, owner, place in seeds(words, ends):
-            yield pa.RecordBatch.from_arrays([pa.array(to_signed(h)), batch.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["h", "id", "at"])
+def _seed_rows(lengths: Sequence[int], whole_only: bool = False):
+    def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text) to (h, id, at): every seed of every text."""
+        for batch in slices(batches):
+            words, ends = flat_words(_bytes(batch.column(1)), tokens)
+            for h, owner, place in seeds(words, ends, lengths, whole_only):
+                yield pa.RecordBatch.from_arrays([pa.array(to_signed(h)), batch.column(0).take(pa.array(owner)), pa.array(place.astype(np.int32))], ["h", "id", "at"])
+
+    return seed_rows
+
+
+def _short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item) to the numbers of tokens of short items."""
+    found: set[int] = set()
+    for batch in batches:
+        found.update(n for t in _bytes(batch.column(0)) if 0 < (n := len(tokens(t))) <= SHORT)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["n"])
 
 
-def _hits_by_broadcast(shared):
+def _hits_by_broadcast(shared, lengths: Sequence[int]):
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, text) to (id, item_no, shift): where benchmark hashes stand in texts."""
         known, item, at = shared.value
@@ -78,7 +101,7 @@ def _hits_by_broadcast(shared):
         for batch in slices(batches):
             words, ends = flat_words(_bytes(batch.column(1)), tokens)
             found: set[tuple[int, int, int]] = set()
-            for h, owner, place in seeds(words, ends):
+            for h, owner, place in seeds(words, ends, lengths):
                 near = np.flatnonzero(door[h >> np.uint64(42)])
                 low, high = np.searchsorted(known, h[near], "left"), np.searchsorted(known, h[near], "right")
                 for i, a, b in zip(near[high > low], low[high > low], high[high > low], strict=True):
@@ -135,15 +158,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     items = items.withColumn("item_no", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "item"))
     items = keep(items)
     id_type = texts.schema["id"].dataType.simpleString()
-    known = keep(items.select(F.col("item_no").alias("id"), F.col("item").alias("text")).mapInArrow(_seed_rows, "h long, id long, at int"))
+    lengths = sorted(r["n"] for r in items.select("item").mapInArrow(_short_lengths, "n int").distinct().collect())  # SHORT rows at most
+    known = keep(items.select(F.col("item_no").alias("id"), F.col("item").alias("text")).mapInArrow(_seed_rows(range(1, SHORT + 1), whole_only=True), "h long, id long, at int"))
     if known.limit(broadcast_hashes + 1).count() <= broadcast_hashes:
         rows = known.toPandas().sort_values("h", kind="stable")
         h = rows["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h, kind="stable")
         shared = spark.sparkContext.broadcast((h[order], rows["id"].to_numpy()[order], rows["at"].to_numpy()[order]))
-        hits = texts.mapInArrow(_hits_by_broadcast(shared), f"id {id_type}, item_no long, shift int")
+        hits = texts.mapInArrow(_hits_by_broadcast(shared, lengths), f"id {id_type}, item_no long, shift int")
     else:
-        mine = texts.mapInArrow(_seed_rows, f"h long, id {id_type}, at int")
+        mine = texts.mapInArrow(_seed_rows(lengths), f"h long, id {id_type}, at int")
         hits = mine.join(known.select("h", F.col("id").alias("item_no"), F.col("at").alias("item_at")), "h").select("id", "item_no", (F.col("at") - F.col("item_at")).alias("shift"))
     diagonals = hits.groupBy("id", "item_no").agg(F.collect_set("shift").alias("shifts"))
     pairs = keep(diagonals)

@@ -130,6 +130,23 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontamination.decontaminate(d, b).collect()} == set(range(40)) - leaks
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(3)
+    items, docs, want = [], [], set()
+    for n in range(1, 14):
+        item = [f"q{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for c in range(12):  # so many substitutions, first and last token too
+            at = set(rng.sample(range(n), rng.randint(0, min(n, n // 5 + 1)) if c else 0))
+            docs.append((100 * n + c, " ".join(["before", *["other" if k in at else w for k, w in enumerate(item)], "after"])))
+            if 0 not in at and n - 1 not in at and (n - len(at)) * 10 >= 8 * n:
+                want.add((100 * n + c, n))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bound in (decontamination.BROADCAST_HASHES, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs, items, broadcast_hashes=bound).collect()}
+        assert got == want
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     b = spark.createDataFrame([(None, "same text twice with enough words to be a set of shingles"), (2, "same text twice with enough words to be a set of shingles")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(clashing(odd), b).collect()} == {(i, j) for i in (4, 5) for j in (None, 2)}
