@@ -167,8 +167,46 @@ def plain_kernel(s, t, n, lam):
 @given(st.text("abcd", max_size=8), st.text("abcd", min_size=4, max_size=7))
 def test_subsequence_kernel(s, t):
     word, mark = s.encode(), t.encode()
-    got = toxicity.similarities([word], [mark])[0, 0] * toxicity.self_kernel(mark) ** 0.5 if word else 0.0
-    assert got == pytest.approx(plain_kernel(word, mark, toxicity.ORDER, toxicity.DECAY), rel=1e-4, abs=1e-5)
+    own = toxicity.self_kernel(mark)
+    assert own == pytest.approx(plain_kernel(mark, mark, toxicity.ORDER, toxicity.DECAY), rel=1e-4)
+    want = min(1.0, plain_kernel(word, mark, toxicity.ORDER, toxicity.DECAY) / own) ** toxicity.POWER
+    assert toxicity.similarities([word], [mark])[0, 0] == pytest.approx(want, rel=1e-3, abs=1e-5)
+
+
+def test_scores_as_by_a_plain_walk_over_sentences():
+    rng = random.Random(6)
+    model = toxicity.Model([b"^idiot$", b"^thorn$", b"stupi"], np.array([2.0, -1.0, 1.5]), -0.9, np.array([1.0, 0.2, 0.3, 0.4, 0.5]), -2.0)
+    words = ["the", "idiot", "idi-ot", "thorn", "stupidity", "stop.", "i", "d", "o", "t", "end!", "x" * 30 + "idiot", "morning?"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "i d i o t"]
+    want = []
+    for text in texts:
+        margins, run, value = [], [], np.zeros(3)
+        own = (text or ".").split() or ["."]
+        plain = [re.sub(r"[^a-z]", "", w) for w in own]
+        for i, (w, p) in enumerate(zip(own, plain, strict=True)):
+            run = [*run, p] if len(p) == 1 else []
+            last = i + 1 == len(own) or len(plain[i + 1]) != 1
+            asked = "".join(run) if len(run) >= 3 and last else p
+            for k, mark in enumerate(model.landmarks):
+                m = b"^" + asked.encode() + b"$"
+                best = max(plain_kernel(m[a : a + 24], mark, 4, toxicity.DECAY) for a in range(0, max(1, len(m) - 12), 12))
+                value[k] += min(1.0, best / plain_kernel(mark, mark, 4, toxicity.DECAY)) ** toxicity.POWER
+            if w[-1] in ".!?" or i + 1 == len(own):
+                margins.append(value @ model.weights + model.bias)
+                value = np.zeros(3)
+        total = sum(x for m in margins if (x := (min(m, 4.0) + 0.9) / 2) > toxicity.FAINT)
+        z = np.dot([np.clip(max(margins), -2, 4), *(min(total, t) for t in toxicity.TOTALS)], model.calibrated) + model.offset
+        want.append(1 / (1 + np.exp(-z)))
+    assert toxicity.judge(model, texts) == pytest.approx(np.array(want), rel=1e-3, abs=1e-4)
+    assert toxicity.judge(model, texts) == pytest.approx(np.array(want), rel=1e-3, abs=1e-4)  # with far words remembered
+
+
+def test_toxic_rows_that_are_all_equal():
+    texts, labels = ["you foulword stench. go away"] * 200 + ["a fine house and garden. the end"] * 200, [1] * 200 + [0] * 200
+    model = toxicity.fit(texts, labels)
+    assert (toxicity.judge(model, texts) >= 0.5).tolist() == [bool(x) for x in labels]
+    assert toxicity.fit(texts[:200], labels[:200]) is None and toxicity.fit([], []) is None
+    assert toxicity.fit(["a", "b c"], [1, 0]) is not None  # no word is long enough for a landmark
 
 
 def test_toxic_words_with_gaps():
