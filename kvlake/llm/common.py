@@ -20,20 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write `df` to the cluster's checkpoint folder and read it.
-
-    The folder is `spark.checkpoint.dir`; only where the session names none (as
-    in tests) a local one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where the session names none, a local one on local masters (as in tests), else an error."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kvlake-checkpoint-"))
+    set_ = context._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="kvlake-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write `df` to the shared checkpoint folder and read it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that each has about `size` bytes of text (one row at least)."""
     for batch in batches:
@@ -58,6 +73,48 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a filter of 2**bits bits that each (signed) hash has."""
+    return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> bytes:
+    """The set bits of the hashes (h long) in a filter of 2**bits bits: its size is fixed, however many hashes there are."""
+    parts = 64
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        door = np.zeros(1 << bits, bool)
+        for batch in batches:
+            door[_slots(batch.column("h").to_numpy(), bits)] = True
+        for i, part in enumerate(np.split(np.packbits(door), parts)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
+
+    def join_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, own in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                part = np.frombuffer(own, np.uint8)
+                found[i] = found[i] | part if i in found else part
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["part", "bits"])
+
+    rows = hashes.select("h").mapInArrow(set_bits, "part int, bits binary").repartition(parts, "part").mapInArrow(join_bits, "part int, bits binary").collect()  # 64 rows, 2**bits bits
+    by_part = {r["part"]: bytes(r["bits"]) for r in rows}
+    return b"".join(by_part.get(i, bytes((1 << bits) // 8 // parts)) for i in range(parts))
+
+
+class Door:
+    """A filter as sent to tasks: which hashes it lets through."""
+
+    def __init__(self, bits: bytes):
+        self.open = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        self.bits = int(np.log2(len(self.open)))
+
+    def lets(self, h: np.ndarray) -> np.ndarray:
+        return self.open[_slots(h, self.bits)]
+
+
 def flat_words(texts: list[bytes | None], split) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text's words end.
 

@@ -8,8 +8,10 @@ are learnt by follow-the-regularised-leader updates (FTRL-proximal) over a
 bounded sample of labelled rows; a score is a sparse dot product of a text.
 
 Defined cases: null and empty texts have no features and get the score of the
-bias alone; with no labelled rows all scores are 0.5; a null doc_id is never held
-out; repeated rows give repeated results; other columns pass by unread.
+bias alone; very long texts and words are read whole; with no labelled rows all scores are
+0.5; a null doc_id is never held out; n-grams whose hashes tie share a weight, examples
+that tie in their order are trained in the order of their texts; repeated rows give repeated results; other
+columns pass by unread, and a column of theirs named as the score is replaced by `score` but kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import mix, slices, table, word_hashes
+from kvlake.llm.common import fresh, mix, slices, table, word_hashes
 from kvlake.llm.labelled import held_out, sample
 
 BITS = 20
@@ -37,7 +39,7 @@ _SHAPES = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-Ö
 
 
 def shape(word: bytes) -> bytes:
-    text = word.decode("utf-8", "replace")[:200]
+    text = word.decode("utf-8", "replace")
     for pattern, mark in _SHAPES:
         text = pattern.sub(mark, text)
     return text.encode()
@@ -78,7 +80,7 @@ def _train(bits: int):
             for i, label in enumerate(batch.column("label").to_pylist()):
                 own, n = np.unique(index[ends[i] : ends[i + 1]], return_counts=True)
                 examples.append((batch.column("order")[i].as_py(), np.append(own, 1 << bits).astype(np.int32), np.append(SCALE * n / max(1, n.sum()) * 4, 1.0).astype(np.float32), label))
-        examples.sort(key=lambda e: e[0])
+        examples.sort(key=lambda e: (e[0], e[3]))
         z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         for _ in range(EPOCHS):
             for _, own, x, label in examples:
@@ -104,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return weights
 
 
-def _score(shared, bits: int):
+def _score(shared, bits: int, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in slices(batches):
@@ -113,25 +115,24 @@ def _score(shared, bits: int):
             size = np.maximum(1, np.diff(ends))
             margin = w[-1] + 4 * SCALE * (sums[ends[1:]] - sums[ends[:-1]]) / size
             scored = 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
-            kept = [c for c, k in zip(batch.columns, batch.schema.names, strict=True) if k != "_score"]
-            names = [k for k in batch.schema.names if k != "_score"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scored)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scored)], [*batch.schema.names, name])
 
     return score
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`docs` with the score of each text as _score."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "_score") -> DataFrame:
+    """`docs` with the score of each text as `name`."""
     bits = int(np.log2(len(weights) - 1))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    docs = docs.drop("_score").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(name).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(shared, bits), f"{schema}, _score double")
+    return docs.mapInArrow(_score(shared, bits, name), f"{schema}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """`docs` without those that the classifier rejects."""
-    return score(docs, train(docs, labels, **options)).where(F.col("_score") >= threshold).drop("_score")
+    name = fresh("_score", docs.columns)
+    return score(docs, train(docs, labels, **options), name).where(F.col(name) >= threshold).drop(name)
 
 
 def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
