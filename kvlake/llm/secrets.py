@@ -12,8 +12,9 @@ or on the word list.
 
 Offsets are code points, end exclusive. Spans are ordered by start, then kind in
 the order of KINDS. Defined cases: a null text counts as empty; an empty text
-has no spans and the digest of the empty string; repeated rows give repeated
-results; other columns of the input pass by unread.
+has no spans and the digest of the empty string; very long texts and values are searched and
+priced whole, in time linear in their length; of splits that tie in cost any gives the same bits; repeated rows give
+repeated results; other columns of the input pass by unread. A value is a run of visible ASCII.
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _CONTEXT_KEYS = ("passphrase", "pwd", "credential", "bearer", "authorization", "key", "passcode", "password", "passwd", "secret", "token", "client_id", "signature")
 _CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)|pwd|credentials?|bearer|authorization|secret|token|(?:private|access|api)[ _-]?key|client_id|signature)"
-    r"[\"']?[ \t]{0,4}(?:is[ \t]|=>|:=|[:= \t])[ \t]{0,4}(?:(?:basic|bearer)[ \t]{1,4})?[\"'`]?([!-~]{6,})",
+    r"[\"']?(?:[ \t]*+(?:is[ \t]|=>|:=|[:=])|[ \t])[ \t]*+(?:(?:basic|bearer)[ \t]++)?[\"'`]?([!-~]{6,}+)",
     re.IGNORECASE | re.ASCII,
 )
-_ADDRESS = re.compile(r"://[^\s/:@]++:([^\s/@]{4,}+)@")
+_ADDRESS = re.compile(r"://[^\s/:@]*+:([^\s/@]{4,}+)@")
 
 # Word list of common passwords and names, in order of how early they are guessed.
 _COMMON = """password admin welcome letmein qwerty secret changeme default login root test guest user master dragon monkey
