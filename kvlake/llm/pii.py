@@ -18,13 +18,15 @@ only from SUPPORT documents on.
 Term spans have the kinds `general` and `remove`. Offsets are code points, end
 exclusive; spans are ordered by start, then kind in the order of KINDS. Defined
 cases: a null text counts as empty; an empty text has no spans and the digest of the
-empty string; repeated rows count as documents of their own and give repeated
+empty string; very long texts are searched whole; a disclosure that ties with a threshold
+reaches it; repeated rows count as documents of their own and give repeated
 results; null ids are kept; other columns of the input pass by unread.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm.common import SLICE_BYTES, keep, mix, slices, table
+from kvlake.llm.common import SLICE_BYTES, Door, bit_filter, keep, mix, slices, table
 from kvlake.llm.secrets import joined
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
@@ -43,6 +45,8 @@ NEAR = 6
 GENERALISE, REMOVE, SUPPORT = 0.6, 0.9, 3
 #: Shortest term, in characters.
 TERM = 3
+#: Pairs of an entity and a term of one text that are looked up at once.
+PAIRS = 1 << 20
 #: Bits of the filter that lets candidate terms through when the corpus is counted; its size is fixed.
 FILTER_BITS = 24
 #: Telling terms are broadcast up to this number (16 bytes each); beyond it, their places come from a shuffled join.
@@ -113,9 +117,20 @@ def pair_hashes(entities: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return mix(mix(entities.view(np.uint64)) + terms.view(np.uint64)).view(np.int64)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms within NEAR words of each entity."""
-    found = []
+def near_terms(text: str, spans: list[tuple[int, int, str]]) -> set[tuple[int, int]]:
+    """(entity, term) for the terms within NEAR words of each entity, outside of entities.
+
+    Words are read around each entity only, so the time grows with the entities.
+    """
+    found = set()
+    # Where entities lie, as stretches that don't overlap: starts and ends in turn.
+    edges: list[int] = []
+    for a, b, _ in spans:
+        if edges and a <= edges[-1]:
+            edges[-1] = max(edges[-1], b)
+        else:
+            edges += [a, b]
+    terms: dict[int, tuple[int, int | None]] = {}  # by their start: end, and hash (None inside of an entity)
     for a, b, kind in spans:
         own = entity(kind, text[a:b])
         before, size = [], 64
@@ -132,90 +147,69 @@ def near_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
             if len(after) == NEAR:
                 break
         for m in before[-NEAR:] + after:
-            if m.end() - m.start() >= TERM and not any(x < m.end() and m.start() < y for x, y, _ in spans):
-                found.append((own, term(m[0]), m.start(), m.end()))
+            x, y = m.span()
+            if y - x < TERM:
+                continue
+            if (known := terms.get(x)) is None or known[0] != y:
+                at = bisect_left(edges, y)  # edges before the word's end; an odd number of them, or one inside, is an overlap
+                outside = at % 2 == 0 and (at == 0 or edges[at - 1] <= x)
+                known = terms[x] = (y, term(m[0]) if outside else None)
+            if known[1] is not None:
+                found.add((own, known[1]))
     return found
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 
 
 def _find(with_text: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, text) to base spans, the text's hash, and terms near entities; with_text, the text as well."""
+        """(doc_id, text) to base spans, the text's hash, its entities, and terms near them; with_text, the text as well."""
         for batch in slices(batches):
-            base, near, key = [], [], []
+            base, near, held, key = [], [], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in near_terms(text, spans)])
+                held.append(sorted({entity(k, text[a:b]) for a, b, k in spans}))
+                near.append([{"entity": e, "term": t} for e, t in near_terms(text, spans)])
                 key.append(text_key(text))
             texts = batch.column("text") if with_text else pa.nulls(batch.num_rows, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(key, pa.int64()), pa.array(base, _SPANS), pa.array(near, _NEAR)], ["doc_id", "text", "text_key", "base", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(key, pa.int64()), pa.array(base, _SPANS), pa.array(held, pa.list_(pa.int64())), pa.array(near, _NEAR)], ["doc_id", "text", "text_key", "base", "entities", "near"])
 
     return find
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    """The bit of the filter that a signed hash has."""
-    return (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - FILTER_BITS)
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms, or entities and terms, to the set bits of the filter, as bytes of a block, block by block."""
-    door = np.zeros(1 << FILTER_BITS, bool)
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, term) to the hash of the pair."""
     for batch in batches:
-        h = batch.column("term").to_numpy()
-        door[_slot(pair_hashes(batch.column("entity").to_numpy(), h) if "entity" in batch.schema.names else h)] = True
-    packed = np.packbits(door)
-    for i, part in enumerate(np.split(packed, 64)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "bits"])
-
-
-def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-            part = np.frombuffer(bits, np.uint8)
-            found[block] = found[block] | part if block in found else part
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["block", "bits"])
-
-
-def _filter(hashes: DataFrame) -> bytes:
-    """The filter of all rows of `hashes` (term, or entity and term)."""
-    blocks = hashes.mapInArrow(_bits, "block int, bits binary").repartition(64, "block").mapInArrow(_or_bits, "block int, bits binary").collect()  # 64 rows, 2**FILTER_BITS bits
-    size = (1 << FILTER_BITS) // 8 // 64
-    by_block = {r["block"]: bytes(r["bits"]) for r in blocks}
-    return b"".join(by_block.get(i, bytes(size)) for i in range(64))
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(batch.column("entity").to_numpy(), batch.column("term").to_numpy()))], ["h"])
 
 
-def _door(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+def _filter(hashes: DataFrame, column: str) -> bytes:
+    return bit_filter(hashes.select(F.col(column).alias("h")).distinct(), FILTER_BITS)
 
 
 class _Candidates(dict):
     """Word to the hash of its term where the filter lets it through, else 0; bounded."""
 
     def __init__(self, bits: bytes):
-        self.door = _door(bits)
+        self.door = Door(bits)
 
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
         h = term(word)
-        h = self[word] = h if self.door[(h + (1 << 63)) >> (64 - FILTER_BITS)] else 0
+        h = self[word] = h if self.door.open[(h & (1 << 64) - 1) >> (64 - FILTER_BITS)] else 0
         return h
 
 
 def _count_terms(shared):
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts to (entity, term, n): in how many of a slice's texts each candidate term stands (entity null), and each candidate pair."""
-        candidates, pairs = _Candidates(shared.value[0]), _door(shared.value[1])
+        candidates, pairs, entities = _Candidates(shared.value[0]), Door(shared.value[1]), Door(shared.value[2])
         for batch in slices(batches, size=4 * SLICE_BYTES):
             counts: dict[tuple[int | None, int], int] = {}
             for text in batch.column("text").to_pylist():
@@ -226,9 +220,15 @@ def _count_terms(shared):
                     counts[None, h] = counts.get((None, h), 0) + 1
                 if own and (spans := base_spans(text)):
                     terms = np.fromiter(own, np.int64, len(own))
-                    for e in {e for e, *_ in near_terms(text, spans)}:
-                        for h in terms[pairs[_slot(pair_hashes(np.array([e]), terms))]].tolist():
-                            counts[e, h] = counts.get((e, h), 0) + 1
+                    held = np.array(sorted({entity(k, text[a:b]) for a, b, k in spans}), np.int64)
+                    held = held[entities.lets(held)]  # only entities of a candidate pair are paired with the text's terms
+                    step = max(1, PAIRS // len(terms))
+                    for i in range(0, len(held), step):
+                        e = np.repeat(held[i : i + step], len(terms))
+                        h = np.tile(terms, len(held[i : i + step]))
+                        hit = pairs.lets(pair_hashes(e, h))
+                        for pair in zip(e[hit].tolist(), h[hit].tolist(), strict=True):
+                            counts[pair] = counts.get(pair, 0) + 1
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in counts], pa.int64()), pa.array([h for _, h in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["entity", "term", "n"])
 
@@ -239,11 +239,11 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs whose term exceeds the lower threshold."""
     spark = docs.sparkSession
     n_docs = found.count()
-    near = found.where(F.size("near") > 0).select(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"]))).alias("pairs"))
-    entities = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    pairs = near.select(F.explode("pairs").alias("p")).select("p.entity", "p.term").groupBy("entity", "term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= SUPPORT)
+    near = found.where(F.size("near") > 0).select("near")
+    entities = found.where(F.size("entities") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    pairs = near.select(F.explode("near").alias("p")).select("p.entity", "p.term").groupBy("entity", "term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= SUPPORT)
     pairs = keep(pairs.join(entities, "entity").select("entity", "term", "n_entity"))
-    shared = spark.sparkContext.broadcast((_filter(pairs.select("term").distinct()), _filter(pairs.select("entity", "term"))))
+    shared = spark.sparkContext.broadcast((_filter(pairs, "term"), bit_filter(pairs.select("entity", "term").mapInArrow(_pair_rows, "h long"), FILTER_BITS), _filter(pairs, "entity")))
     counted = keep(docs.select("text").mapInArrow(_count_terms(shared), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")))
     terms = counted.where("entity is null").select("term", F.col("n").alias("n_term"))
     both = counted.where("entity is not null").select("entity", "term", F.col("n").alias("n_both"))
@@ -284,12 +284,12 @@ def find_personal_data(docs: DataFrame, with_text: bool = False, broadcast_terms
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,end:long>>"
-    found = keep(docs.mapInArrow(_find(with_text), f"doc_id {kind}, text string, text_key long, base {spans}, near array<struct<entity:long,term:long,start:long,end:long>>"))
+    found = keep(docs.mapInArrow(_find(with_text), f"doc_id {kind}, text string, text_key long, base {spans}, entities array<long>, near array<struct<entity:long,term:long>>"))
     risky = keep(disclosures(docs, found).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
     n_risky = risky.limit(broadcast_terms + 1).count()
     rows = found.select("doc_id", "text", "base", F.lit(None).cast(spans).alias("added"))
     if n_risky:
-        shared = spark.sparkContext.broadcast(_filter(risky.select("term")))
+        shared = spark.sparkContext.broadcast(_filter(risky, "term"))
         places = docs.mapInArrow(_places(shared), f"doc_id {kind}, text_key long, term long, places array<struct<start:long,end:long>>")
         level = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("general")
         told = places.join(F.broadcast(risky) if n_risky <= broadcast_terms else risky, "term").select("doc_id", "text_key", F.transform("places", lambda x: F.struct(level.alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("s"))
