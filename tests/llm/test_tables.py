@@ -147,6 +147,49 @@ def test_decontamination_of_short_items(spark):
         assert got == want
 
 
+def plain_overlap(text, item):
+    """The longest overlap over all diagonals, stretch by stretch."""
+    d, q = decontamination.tokens(text.encode()), decontamination.tokens(item.encode())
+    best = 0
+    for shift in range(1 - len(q), len(d)):
+        equal = [0 <= k + shift < len(d) and d[k + shift] == w for k, w in enumerate(q)]
+        for a in range(len(q)):
+            for b in range(len(q), a + best, -1):
+                if equal[a] and equal[b - 1] and 10 * sum(equal[a:b]) >= 8 * (b - a):
+                    best = b - a
+                    break
+    return best if best >= min(13, len(q)) > 0 else 0
+
+
+def test_decontamination_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    items, docs = [(9000, "a " * 30), (9001, "x y")], [(9000, "a " * 60), (9001, "a b " * 30), (9002, "x y")]
+    for n in range(1, 31):
+        item = rng.choices(words, k=n)
+        items.append((n, " ".join(item)))
+        for c in range(8):
+            part = item if n < 16 or c % 2 else item[(a := rng.randint(0, n - 14)) : a + 14]
+            changed = rng.sample(range(len(part)), rng.randint(0, len(part) // 5)) if c else []
+            docs.append((10 * n + c, " ".join([*rng.choices(words, k=20), *("other" if k in changed else w for k, w in enumerate(part)), *rng.choices(words, k=20)])))
+    want = {(i, j): n for i, t in docs for j, q in items if (n := plain_overlap(t, q))}
+    for bound in (decontamination.BROADCAST_HASHES, 0):
+        found = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_hashes=bound)
+        got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in found.collect()}
+        assert set(got) <= set(want) and all(n <= want[k] for k, n in got.items())
+        for low, high in ((1, 8), (8, 13), (13, 16), (16, 31), (9000, 9002)):  # by length of the item
+            of = [k for k in want if low <= k[1] < high]
+            assert of and sum(k in got for k in of) >= (1.0 if low < 13 or low == 9000 else 0.9) * len(of)
+        assert sum(got.get(k) == n for k, n in want.items()) >= 0.95 * len(want)
+
+
+def test_repeats_take_no_quadratic_time():
+    mine, theirs = np.full(300_000, 7, np.uint64), np.full(200, 7, np.uint64)
+    assert decontamination.overlap(mine, theirs, 13, 8) == (200, 200, 0, 0)
+    mine, theirs = np.tile(np.arange(5, dtype=np.uint64), 4000), np.tile(np.arange(5, dtype=np.uint64), 400)
+    assert decontamination.overlap(mine, theirs, 13, 8) == (2000, 2000, 0, 0)
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     b = spark.createDataFrame([(None, "same text twice with enough words to be a set of shingles"), (2, "same text twice with enough words to be a set of shingles")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(clashing(odd), b).collect()} == {(i, j) for i in (4, 5) for j in (None, 2)}
@@ -200,12 +243,23 @@ def test_mixing(spark, odd, none):
     copies = mixed.where("source = 'rare'").groupBy("doc_id").count()
     mean, var = copies.agg(F.avg("count"), F.var_samp("count")).first()
     assert 0.6 < var / mean < 1.5 and mean > 2 * mixing.PIECE  # Poisson, by pieces
-    keys = [r["mix_key"] for r in mixed.collect()]
-    assert keys == sorted(keys) and rows_of(mixed) == rows_of(mixing.mix(docs.repartition(5), {"small": 1.0, "rare": 1.0, "big": 0.0}, total=4000))
+    parts = [[r["mix_key"] for r in part] for part in mixed.rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts)
+    assert rows_of(mixed) == rows_of(mixing.mix(docs.repartition(5), {"small": 1.0, "rare": 1.0, "big": 0.0}, total=4000))
     assert mixing.left_over() < 2**-50
     out = mixing.mix(clashing(odd))
     assert set(out.columns) == set(clashing(odd).columns) and out.where("source is null").count() + out.where("source = 's'").count() == out.count()
     assert mixing.mix(none).count() == 0
+    one = spark.createDataFrame([(1, "t", "a"), (2, "t", "b"), (3, "t", "b"), (None, "t", "b")], "doc_id long, text string, source string")
+    many = mixing.mix(one, {"a": 1.0, "b": 1.0}, total=160_000)  # one document to 80,000 copies, in 10,000 pieces
+    counts = {r["doc_id"]: (r["n"], r["different"]) for r in many.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("different")).collect()}
+    assert abs(counts[1][0] - 80_000) < 1500 and all(n == d for n, d in counts.values()) and sum(n for n, _ in counts.values()) == many.count()
+
+
+def test_mixing_odd_ids_draw_on_their_own(spark):
+    rows = spark.createDataFrame([(None, "s"), ("null", "s"), ("id null", "s")], "doc_id string, source string")
+    keys = {r["doc_id"]: r["mix_key"] for r in mixing.mix(rows, total=60.0).where("copy = 0").collect()}
+    assert len(set(keys.values())) == len(keys) == 3
 
 
 def test_secrets_and_personal_data(spark, odd, none):
@@ -247,23 +301,40 @@ def rows_text(rows, doc_id):
     return dict(rows)[doc_id]
 
 
+def plain_near(t):
+    """(entity, term) for each term among the six words on either side of an entity, outside of all entities."""
+    spans, found = pii.base_spans(t), set()
+    for a, b, kind in spans:
+        before, after = list(pii._WORD.finditer(t, 0, a)), list(pii._WORD.finditer(t, b))
+        for m in before[-pii.NEAR :] + after[: pii.NEAR]:
+            if len(m[0]) >= pii.TERM and not any(x < m.end() and m.start() < y for x, y, _ in spans):
+                found.add((pii.entity(kind, t[a:b]), pii.term(m[0])))
+    return found
+
+
 def test_disclosure_of_all_documents_against_plain_counts(spark):
-    docs = table(spark, SF, "documents").select("doc_id", "text")
+    planted = [(10**6 + i, f"told by zanzibar joe{i % 2}@x.org, 10.0.0.{i % 3} and qwixby" + " zanzibar" * (i % 4)) for i in range(12)] + [(2 * 10**6, "zanzibar alone")]
+    docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    near, entities, both, terms = {}, Counter(), Counter(), Counter()
+    own, near, entities, both, terms = {}, Counter(), Counter(), Counter(), Counter()
     for i, t in texts.items():
-        near[i] = pii.near_terms(t, pii.base_spans(t))
-        entities.update({e for e, *_ in near[i]})
-        both.update({(e, w) for e, w, *_ in near[i]})
-        terms.update({pii.term(w) for w in pii._WORD.findall(t)})
+        own[i] = {pii.entity(k, t[a:b]) for a, b, k in pii.base_spans(t)}
+        words = {pii.term(w) for w in pii._WORD.findall(t)}
+        entities.update(own[i])
+        near.update(plain_near(t))
+        terms.update(words)
+        both.update({(e, w) for e in own[i] for w in words})
     n = len(texts)
+    told = defaultdict(float)
+    for (e, w), support in near.items():
+        if support >= pii.SUPPORT and entities[e] < n:
+            told[w] = max(told[w], np.log(n * both[e, w] / (terms[w] * entities[e])) / np.log(n / entities[e]))
     want = defaultdict(set)
-    for i, found in near.items():
-        for e, w, a, b in found:
-            if entities[e] >= pii.SUPPORT and both[e, w] >= pii.SUPPORT:
-                told = min(1.0, np.log(n * both[e, w] / (terms[w] * entities[e])) / np.log(n / entities[e]))
-                if told >= pii.GENERALISE:
-                    want[i].add((a, b))
+    for i, t in texts.items():
+        for m in pii._WORD.finditer(t):
+            if told[pii.term(m[0])] >= pii.GENERALISE and not any(a < m.end() and m.start() < b for a, b, _ in pii.base_spans(t)):
+                want[i].add(m.span())
+    assert any(want.values())
     got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["spans"] if s["kind"] in ("general", "remove")} for r in pii.find_personal_data(docs).collect()}
     assert {i: s for i, s in got.items() if s} == {i: s for i, s in want.items() if s}
 
@@ -309,6 +380,8 @@ def test_classifiers(spark, odd, none):
         assert module.score(none, model).count() == 0
         assert module.score(odd, module.train(docs, labels.limit(0))).count() == len(ODD)
     assert quality.keep_good(docs, labels).columns == docs.columns
+    own = quality.keep_good(clashing(docs), labels)
+    assert own.columns == clashing(docs).columns and own.where("_score = 'x'").count() == 200
 
 
 @pytest.mark.parametrize("name, label, least", [("op6_ftrl_quality", "quality", 0.95), ("op8_string_kernel", "toxic", 0.85)])
