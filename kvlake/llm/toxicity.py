@@ -46,6 +46,8 @@ from kvlake.llm.labelled import held_out, sample
 
 ORDER, DECAY, POWER = 4, 0.7, 4
 WINDOW, STEP = 24, 12
+#: Comparisons below this count as 0.
+LEAST = 0.001
 #: Bounds of training: texts, and landmarks that tell toxic texts.
 TRAIN_ROWS, LANDMARKS = 2400, 32
 #: Lengths of the word parts that may be landmarks.
@@ -122,7 +124,7 @@ def _alike(codes: np.ndarray, landmark: bytes) -> np.ndarray:
 
 
 def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """The kernel of each word with each landmark, as a share of the landmark's own, to the power of POWER.
+    """The kernel of each word with each landmark, as a share of the landmark's own, to the power of POWER; less than LEAST is 0.
 
     A word longer than WINDOW has the most of its windows.
     """
@@ -148,7 +150,9 @@ def similarities(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
             for a in range(0, len(near), 4096):
                 part = near[a : a + 4096]
                 np.maximum.at(out[:, k], own[at[part]], kernel(codes[part], np.frombuffer(landmark, np.uint8)))
-    return np.minimum(out / np.array([self_kernel(w) for w in landmarks], np.float32), 1.0) ** POWER
+    out = np.minimum(out / np.array([self_kernel(w) for w in landmarks], np.float32), 1.0) ** POWER
+    out[out < LEAST] = 0
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -156,8 +160,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def marked(word: bytes) -> bytes:
-    """The word without punctuation, with a mark at either end."""
-    return b"^" + word.translate(None, _MARKS) + b"$"
+    """The word without punctuation, with a mark where it starts."""
+    return b"^" + word.translate(None, _MARKS)
 
 
 def sentence_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +180,7 @@ def sentence_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np
     distinct = [marked(flat[i]) for i in first]
     ends = np.array([flat[i][-1:] in b".!?" for i in first])[inverse]
     ends[np.cumsum(counts) - 1] = True
-    single = np.array([len(w) == 3 for w in distinct])[inverse]
+    single = np.array([len(w) == 2 for w in distinct])[inverse]
     # Rows of single letters: put together into one more word, in place of the last of them.
     owner = np.repeat(np.arange(len(texts)), counts)
     change = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
@@ -332,7 +336,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     weights = copy_weights(texts)
-    telling = telling_parts([{marked(w) for w in words_of(t)} for t in texts], toxic, weights) or [b"^" + b"x" * ORDER + b"$"]
+    telling = telling_parts([{marked(w) for w in words_of(t)} for t in texts], toxic, weights) or [b"^" + b"x" * ORDER]
     # The words of other texts that come closest to the telling parts are landmarks too.
     distinct, _, which, sentence, owner = sentence_words(list(texts))
     clean_words = np.unique(which[toxic[owner[sentence]] == 0])
