@@ -1,218 +1,111 @@
 """Operator 7: license scans by ordered signature rules, in DataFrame functions alone.
 
-A rule has a label, a priority, a keyword and a regular expression over the
-lower-cased text with white space made single. Rules are tried only on texts that
+A rule (see `license_rules`) has a label, a priority, a keyword and a regular expression
+over the lower-cased text with white space made single. Rules are tried only on texts that
 contain their keyword; their matches are intervals. An interval inside another
 one of the same or a higher priority (smaller number) is suppressed, so `licensed
 under the gnu lesser general public license v2.1` does not also report the plain
 GPL rule that it contains. The labels of the intervals that are left, with the
 base phrases' labels, are the labels of the document.
 
-The rules are written for families of licenses: each family gives its names, its
-short identifiers, its versions and its addresses, and from these the rules for
-tags, grants, titles and links follow.
+Each rule is a literal of the plan, so its expression is compiled once in a task. Places of
+matches and the reach of earlier intervals are running sums and maxima, taken in
+chunks of CHUNK, so texts with very many matches take no quadratic time.
 
 Defined cases: a null text counts as empty; an empty text has no words, no labels
-(empty strings), null first_word and last_word, and score 0; repeated rows give
-repeated results; other columns of the input are not read.
+(empty strings), null first_word and last_word, and score 0; very long texts are searched
+whole; of equal intervals that tie in priority the one with the smaller label stays; repeated rows give repeated results; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.llm.common import table
+from kvlake.llm.license_rules import GRANT, LINK, MENTION, STEMS, TAG, TITLE, Rule, rules
 
 #: Fixed base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Priorities: a tag is certain, a grant names the license, a title or link is weaker, a mention weakest.
-TAG, GRANT, LINK, TITLE, MENTION = 1, 2, 3, 4, 5
 CONFIDENCE = {TAG: 1.0, GRANT: 0.95, LINK: 0.9, TITLE: 0.8, MENTION: 0.5}
+#: Length of the chunks in which running sums and maxima are taken.
+CHUNK = 64
 
 
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    priority: int
-    keyword: str
-    pattern: str
-
-
-# Families: label, names (regular expressions), identifier (a regular expression), versions, address.
-# The keyword of a name is its longest plain word.
-_FAMILIES = (
-    ("apache", ("apache(?: software)? licen[sc]e", "apache software foundation licen[sc]e"), "apache", ("1.0", "1.1", "2.0"), r"apache\.org/licenses"),
-    ("gpl", ("(?:gnu )?general public licen[sc]e", "gnu gpl"), "gpl", ("1", "2", "3", "2.0", "3.0"), r"gnu\.org/(?:licenses|copyleft)/gpl"),
-    ("lgpl", ("(?:gnu )?(?:lesser|library) general public licen[sc]e", "gnu lgpl"), "lgpl", ("2", "2.0", "2.1", "3", "3.0"), r"gnu\.org/(?:licenses|copyleft)/lgpl"),
-    ("agpl", ("(?:gnu )?affero general public licen[sc]e", "gnu agpl"), "agpl", ("1.0", "3", "3.0"), r"gnu\.org/licenses/agpl"),
-    ("gfdl", ("(?:gnu )?free documentation licen[sc]e", "gnu fdl"), "gfdl", ("1.1", "1.2", "1.3"), r"gnu\.org/(?:licenses|copyleft)/fdl"),
-    ("mpl", ("mozilla public licen[sc]e",), "mpl", ("1.0", "1.1", "2.0"), r"mozilla\.org/(?:en-us/)?mpl"),
-    ("epl", ("eclipse public licen[sc]e",), "epl", ("1.0", "2.0"), r"eclipse\.org/legal/epl"),
-    ("cddl", ("common development and distribution licen[sc]e",), "cddl", ("1.0", "1.1"), r"opensource\.org/licenses/cddl"),
-    ("cpl", ("common public licen[sc]e",), "cpl", ("0.5", "1.0"), r"ibm\.com/developerworks/library/os-cpl"),
-    ("eupl", ("european union public licen[sc]e",), "eupl", ("1.0", "1.1", "1.2"), r"eupl\.eu"),
-    ("artistic", ("artistic licen[sc]e",), "artistic", ("1.0", "2.0"), r"perlfoundation\.org/artistic"),
-    ("boost", ("boost software licen[sc]e",), "bsl", ("1.0",), r"boost\.org/license"),
-    ("mit", ("mit licen[sc]e", "expat licen[sc]e", "x11 licen[sc]e"), "mit", (), r"opensource\.org/licenses?/mit"),
-    ("bsd", ("(?:new |modified |simplified |[0-4]-clause )?bsd(?: [0-4]-clause)? licen[sc]e", "berkeley software distribution licen[sc]e"), "bsd", ("0-clause", "1-clause", "2-clause", "3-clause", "4-clause"), r"opensource\.org/licenses?/bsd"),
-    ("isc", ("isc licen[sc]e",), "isc", (), r"opensource\.org/licenses?/isc"),
-    ("zlib", ("zlib(?:/libpng)? licen[sc]e",), "zlib", (), r"zlib\.net/zlib_license"),
-    ("psf", ("python software foundation licen[sc]e",), "psf", ("2.0",), r"docs\.python\.org/(?:3/)?license"),
-    ("php", ("php licen[sc]e",), "php", ("3.0", "3.01"), r"php\.net/license"),
-    ("ruby", ("ruby licen[sc]e",), "ruby", (), r"ruby-lang\.org/en/(?:about/)?license"),
-    ("openssl", ("openssl licen[sc]e",), "openssl", (), r"openssl\.org/source/license"),
-    ("wtfpl", ("do what the fuck you want to public licen[sc]e",), "wtfpl", ("1.0", "2.0"), r"wtfpl\.net"),
-    ("unlicense", ("the unlicense",), "unlicense", (), r"unlicense\.org"),
-    ("ofl", ("(?:sil )?open font licen[sc]e",), "ofl", ("1.0", "1.1"), r"scripts\.sil\.org/ofl"),
-    ("ms-pl", ("microsoft public licen[sc]e",), "ms-pl", (), r"opensource\.org/licenses?/ms-pl"),
-    ("ms-rl", ("microsoft reciprocal licen[sc]e",), "ms-rl", (), r"opensource\.org/licenses?/ms-rl"),
-    ("apsl", ("apple public source licen[sc]e",), "apsl", ("1.0", "1.1", "2.0"), r"opensource\.apple\.com/apsl"),
-    ("osl", ("open software licen[sc]e",), "osl", ("1.0", "2.0", "2.1", "3.0"), r"opensource\.org/licenses?/osl"),
-    ("afl", ("academic free licen[sc]e",), "afl", ("1.1", "1.2", "2.0", "2.1", "3.0"), r"opensource\.org/licenses?/afl"),
-    ("qpl", ("q public licen[sc]e",), "qpl", ("1.0",), r"opensource\.org/licenses?/qpl"),
-    ("ncsa", ("university of illinois(?:/ncsa)? open source licen[sc]e",), "ncsa", (), r"opensource\.org/licenses?/ncsa"),
-    ("zpl", ("zope public licen[sc]e",), "zpl", ("1.1", "2.0", "2.1"), r"zope\.org/resources/zpl"),
-    ("sspl", ("server side public licen[sc]e",), "sspl", ("1.0",), r"mongodb\.com/licensing/server-side-public-license"),
-    ("busl", ("business source licen[sc]e",), "busl", ("1.1",), r"mariadb\.com/bsl11"),
-    ("elastic", ("elastic licen[sc]e",), "elastic", ("1.0", "2.0"), r"elastic\.co/licensing/elastic-license"),
-    ("odbl", ("open (?:data commons open )?database licen[sc]e",), "odbl", ("1.0",), r"opendatacommons\.org/licenses/odbl"),
-    ("odc-by", ("open data commons attribution licen[sc]e",), "odc-by", ("1.0",), r"opendatacommons\.org/licenses/by"),
-    ("pddl", ("public domain dedication and licen[sc]e",), "pddl", ("1.0",), r"opendatacommons\.org/licenses/pddl"),
-    ("cdla", ("community data licen[sc]e agreement",), "cdla", ("1.0", "2.0"), r"cdla\.(?:io|dev)"),
-    ("ogl", ("open government licen[sc]e",), "ogl", ("1.0", "2.0", "3.0"), r"nationalarchives\.gov\.uk/doc/open-government-licence"),
-    ("rail", ("(?:bigscience |creativeml )?open rail(?:-m)? licen[sc]e", "responsible ai licen[sc]e"), "openrail", (), r"licenses\.ai"),
-    ("llama", ("llama (?:2 |3 |3\\.1 )?community licen[sc]e",), "llama", (), r"ai\.meta\.com/llama/license"),
-)
-# Creative Commons: the parts of a license and its versions.
-_CC_PARTS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
-_CC_WORDS = {"by": "attribution", "sa": "share ?-?alike", "nd": "no ?-?deriv(?:ative)?s?(?: works)?", "nc": "non ?-?commercial"}
-_CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-# Rules of their own: notices and grants that name no license.
-_SINGLE = (
-    ("mit", GRANT, "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", GRANT, "permission to use, copy", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
-    ("bsd", GRANT, "redistribution and use", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("public-domain", TITLE, "public domain", r"(?:dedicated to|released into|placed in|in) the public domain"),
-    ("public-domain", MENTION, "public domain", r"\bpublic domain\b"),
-    ("cc0", GRANT, "cc0", r"\bcc0(?:[ -]1\.0)?(?: universal)?\b"),
-    ("cc0", LINK, "publicdomain/zero", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-pdm", LINK, "publicdomain/mark", r"creativecommons\.org/publicdomain/mark"),
-    ("cc", MENTION, "creative commons", r"\bcreative commons\b"),
-    ("copyright", MENTION, "copyright", r"\bcopyright (?:\(c\)|©|[12][0-9]{3})"),
-    ("copyright", MENTION, "©", r"© ?(?:copyright )?[12][0-9]{3}"),
-    ("copyright", MENTION, "(c) ", r"\(c\) [12][0-9]{3}"),
-    ("reserved", TITLE, "rights reserved", r"\b(?:all|some|no) rights reserved\b"),
-    ("proprietary", TITLE, "proprietary", r"\bproprietary(?: and confidential| licen[sc]e| software)\b"),
-    ("proprietary", TITLE, "unauthorized", r"\bunauthori[sz]ed (?:copying|use|distribution|reproduction)\b"),
-    ("proprietary", TITLE, "end user", r"\bend user licen[sc]e agreement\b"),
-    ("permission", MENTION, "permission", r"\b(?:used|reprinted|reproduced) (?:with|by) permission\b"),
-    ("noncommercial", MENTION, "commercial", r"\bfor non-?commercial (?:use|purposes) only\b"),
-    ("warranty", MENTION, "without warrant", r"\bwithout warrant(?:y|ies)(?: or conditions)? of any kind\b"),
-    ("warranty", MENTION, "as is", r"\bprovided [\"'“]?as[- ]is[\"'”]?"),
-    ("spdx", MENTION, "spdx-license-identifier", r"spdx-license-identifier: ?[a-z0-9.+-]+"),
-    ("licensed", MENTION, "licen", r"\blicen[sc]ed under (?:the )?(?:terms of )?"),
-)
-
-
-def _keyword(pattern: str) -> str:
-    """The longest plain word of a regular expression: each match contains it."""
-    depth, plain, i = 0, "", 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c in "([":
-            depth += 1
-            plain += "\0"
-        elif c in ")]":
-            depth -= 1
-        elif c == "\\":
-            plain += pattern[i + 1] if depth == 0 and pattern[i + 1] in "./-" else "\0"
-            i += 1
-        elif depth == 0:
-            plain = plain[:-1] + "\0" if c in "?*{" else plain + c
-        i += 1
-    return max(plain.split("\0"), key=len).strip()
-
+def gates(all_rules: list[Rule]) -> list[str]:
+    """Few strings such that every rule's keyword contains one of them: texts without any of them match no rule."""
+    out: list[str] = list(STEMS)
+    for k in sorted({r.keyword for r in all_rules}, key=len):
+        if not any(g in k for g in out):
+            out.append(k)
+    return out
 
-def rules() -> list[Rule]:
-    """All rules, in order: by priority, then as written."""
-    found = []
 
-    def add(label, priority, pattern, keyword=None):
-        found.append(Rule(label, priority, keyword or _keyword(pattern), pattern))
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def versions(all_of):
-        return "(?:" + "|".join(v.replace(".", r"\.") for v in sorted(all_of, key=len, reverse=True)) + ")"
 
-    for label, names, short, all_of, address in _FAMILIES:
-        add(label, TAG, rf"spdx-license-identifier: ?\(?{short}(?:-?{versions(all_of)})?(?:-only|-or-later|\+)?(?![a-z0-9])" if all_of else rf"spdx-license-identifier: ?\(?{short}(?![a-z0-9])", "spdx-license-identifier")
-        for name in names:
-            add(label, GRANT, rf"\b(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}\b", _keyword(name))
-            add(label, TITLE, rf"\b(?:the )?{name}\b", _keyword(name))
-            for v in all_of:
-                add(f"{label}-{v}", GRANT, rf"\b(?:the )?{name},? ?(?:\(?{short}\)?,? ?)?(?:version |v\.? ?|ver\. ?)?{v.replace('.', '[.]')}(?![.0-9]*[0-9])", _keyword(name))
-        add(label, LINK, rf"(?:https?://)?(?:www\.)?{address}[a-z0-9./_-]*", _keyword(address))
-        for v in all_of:
-            add(f"{label}-{v}", TITLE, rf"\b{short}(?:[ -]?v?\.?){v.replace('.', '[.]')}(?:-only|-or-later|\+)?(?![.0-9]*[0-9])", short)
-    for parts in _CC_PARTS:
-        code = parts.replace("-", "[ -]")
-        words = "[ -]".join(_CC_WORDS[p] for p in parts.split("-"))
-        for mark in ("cc by", "cc-by"):
-            coded = rf"\b{mark}{code[2:]}"
-            add(f"cc-{parts}", TITLE, rf"{coded}(?![ -](?:sa|nd|nc)\b)\b", mark)
-            for v in _CC_VERSIONS:
-                add(f"cc-{parts}-{v}", GRANT, rf"{coded}[ -]{v.replace('.', '[.]')}(?![.0-9]*[0-9])", mark)
-        add(f"cc-{parts}", GRANT, rf"\bcreative commons {words}(?![ -](?:share|no|non))(?: licen[sc]e)?", "creative commons")
-        add(f"cc-{parts}", LINK, rf"(?:https?://)?(?:www\.)?creativecommons\.org/licenses/{parts}(?:/[0-9.]+)?(?![a-z-])", "creativecommons.org/licenses")
-        for v in _CC_VERSIONS:
-            dotted = v.replace(".", "[.]")
-            add(f"cc-{parts}-{v}", GRANT, rf"\bcreative commons {words}(?: licen[sc]e)?,? (?:version )?{dotted}(?: (?:international|unported|generic))?(?: licen[sc]e)?", "creative commons")
-    for label, priority, keyword, pattern in _SINGLE:
-        add(label, priority, pattern, keyword)
-    return sorted(found, key=lambda r: r.priority)
+def _running(values: Column, start: int, op) -> Column:
+    """Of an array (a lambda's variable) the running results of `op`, from `start` on."""
+    over = lambda part, first: F.aggregate(part, first, op)
+    chunks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int"))
+    whole = F.transform(chunks, lambda c: over(F.slice(values, c * CHUNK + 1, F.lit(CHUNK)), F.lit(start)))
+    none = F.array().cast("array<int>")
+    before = lambda sums: F.aggregate(sums, F.array(F.lit(start)), lambda acc, s: F.concat(acc, F.array(op(F.element_at(acc, -1), s))))
+    at = F.sequence(F.lit(0), F.size(values) - 1)
+    inside = lambda i: F.slice(values, i - i % CHUNK + 1, i % CHUNK + 1)
+    result = _let(_let(whole, before), lambda bases: F.transform(at, lambda i: over(inside(i), F.element_at(bases, (F.floor(i / CHUNK) + 1).cast("int")))))
+    return F.when(F.size(values) > 0, result).otherwise(none)
 
 
-#: Texts without any of these contain no keyword of a rule: the first gate, a short one.
-def gates(all_rules: list[Rule]) -> list[str]:
-    """Keywords such that every rule's keyword contains one of them."""
-    out: list[str] = []
-    for k in sorted({r.keyword for r in all_rules}, key=len):
-        if not any(g in k for g in out):
-            out.append(k)
-    return out
+def _matches(all_rules: list[Rule]) -> Column:
+    """Of the column `single` the matches of each rule that has any, and what stands before and between them, by keywords."""
+    by_keyword: dict[str, list[str]] = {}
+    for r in all_rules:
+        pattern = "r'" + r.pattern.replace("'", r"\x27") + "'"
+        versions = f"regexp_extract_all(single, {pattern}, 1)" if r.versioned else "CAST(array() AS array<string>)"
+        found = f"named_struct('label', '{r.label}', 'priority', {r.priority}, 'versions', {versions}, 'hits', regexp_extract_all(single, {pattern}, 0), 'gaps', split(single, {pattern}, -1))"
+        by_keyword.setdefault(r.keyword, []).append(f"CASE WHEN regexp_like(single, {pattern}) THEN {found} END")
+    groups = [f"CASE WHEN contains(single, '{k}') THEN array({', '.join(own)}) ELSE array() END" for k, own in by_keyword.items()]
+    return F.expr(f"array_compact(flatten(array({', '.join(groups)})))")
 
 
-def _spans(text, rule):
-    """All matches of a rule as intervals: what stands between them gives their places."""
-    hits, gaps = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
+def _spans(found: Column) -> Column:
+    """The matches of one rule as intervals."""
+    hits = F.transform(found["hits"], F.length)
+    # A match starts after all gaps up to it and all matches before it.
+    widths = F.zip_with(F.slice(F.transform(found["gaps"], F.length), F.lit(1), F.size(hits)), F.concat(F.array(F.lit(0)), hits), lambda g, h: F.coalesce(g, F.lit(0)) + h)
+    starts = lambda w: _running(F.slice(w, F.lit(1), F.size(found["hits"])), 0, lambda x, y: x + y)
 
-    def step(acc, i):
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        end = start + F.length(F.element_at(hits, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label")))).alias("out"))
+    def one(start, i):
+        label = F.concat_ws("-", found["label"], F.try_element_at(found["versions"], i + 1))
+        return F.struct(start.alias("start"), (start + F.length(F.element_at(found["hits"], i + 1))).alias("end"), found["priority"].alias("priority"), label.alias("label"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(hits)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.size(hits) > 0, walked).otherwise(empty)
+    return F.transform(_let(widths, starts), one)
 
 
-def _outermost(spans):
+def _outermost(spans: Column) -> Column:
     """Intervals that no other one of the same or a higher priority contains; of equal ones the first stays."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["priority"].alias("priority"), s["label"].alias("label"))))
-    reach = F.struct(*[F.lit(-1).alias(f"p{p}") for p in sorted(CONFIDENCE)], F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("out"))
+    # For each priority, how far the intervals of it and of higher ones reach, up to each interval.
+    ends = lambda own, p: F.transform(own, lambda s: F.when(s["priority"] <= p, -s["back"]).otherwise(-1))
+    reaches = lambda own: F.struct(*[_let(ends(own, p), lambda e: _running(e, -1, lambda x, y: F.greatest(x, y))).alias(f"p{p}") for p in sorted(CONFIDENCE)])
+
+    def left(own):
+        def keep(reach):
+            def stays(s, i):
+                # Before the interval itself: what earlier ones reach.
+                far = F.coalesce(*[F.when(s["priority"] == p, F.try_element_at(reach[f"p{p}"], F.when(i > 0, i))) for p in sorted(CONFIDENCE)], F.lit(-1))
+                return far < -s["back"]
 
-    def step(acc, s):
-        end = -s["back"]
-        farthest = F.greatest(*[F.when(s["priority"] >= p, acc[f"p{p}"]).otherwise(-1) for p in sorted(CONFIDENCE)], F.lit(-1))
-        own = F.struct(s["start"].alias("start"), end.alias("end"), s["priority"].alias("priority"), s["label"].alias("label"))
-        return F.struct(
-            *[F.when(s["priority"] == p, F.greatest(acc[f"p{p}"], end)).otherwise(acc[f"p{p}"]).alias(f"p{p}") for p in sorted(CONFIDENCE)],
-            F.when(farthest >= end, acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"),
-        )
+            return F.filter(own, stays)
 
-    return F.aggregate(ordered, reach, step)["out"]
+        return _let(reaches(own), keep)
+
+    kept = _let(ordered, left)
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["priority"].alias("priority"), s["label"].alias("label")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -223,35 +116,39 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     last_word, spans (start, end, priority, label).
     """
     all_rules = rules()
-    one = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.pattern).alias("pattern"))
-    keywords = list(dict.fromkeys(r.keyword for r in all_rules))
-    literal = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[one(r) for r in all_rules if r.keyword == k]).alias("rules")) for k in keywords])
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     separator = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    rows = docs.select("doc_id", low.alias("low"))
-    last = lambda p: p.split()[-1]
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # lower() changes more than A-Z: enough to tell which texts may hold a phrase or a keyword, and cheaper than translate().
+    rows = rows.withColumn("loose", F.lower("text"))
     rows = rows.select(
         "doc_id",
-        "low",
-        F.regexp_count("low", F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+")).cast("long").alias("n_words"),
+        "text",
+        F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long").alias("n_words"),
+        F.greatest(*[F.contains("loose", F.lit(w)) for w in dict.fromkeys(p.split()[-1] for p in PHRASES)]).alias("may_phrase"),
+        F.greatest(*[F.contains("loose", F.lit(g)) for g in gates(all_rules)]).alias("may_rule"),
+    )
+    rows = rows.withColumn("low", F.when(F.col("may_phrase") | F.col("may_rule"), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lit("")))
+    rows = rows.select(
+        "doc_id",
+        "n_words",
         # Words set apart by two spaces, so that neighbouring phrases share none; only where a phrase can be.
-        F.when(F.greatest(*[F.contains("low", F.lit(p.split()[0])) & F.contains("low", F.lit(last(p))) for p in PHRASES]), F.concat(F.lit(" "), F.regexp_replace("low", separator, "  "), F.lit(" "))).otherwise(F.lit("")).alias("spaced"),
-        F.when(F.greatest(*[F.contains("low", F.lit(g)) for g in gates(all_rules)]), F.regexp_replace("low", r"\s+", " ")).otherwise(F.lit("")).alias("single"),
+        F.when(F.col("may_phrase") & F.greatest(*[F.contains("low", F.lit(p.split()[0])) & F.contains("low", F.lit(p.split()[-1])) for p in PHRASES]), F.concat(F.lit(" "), F.regexp_replace("low", separator, "  "), F.lit(" "))).otherwise(F.lit("")).alias("spaced"),
+        F.when(F.col("may_rule"), F.regexp_replace("low", r"\s+", " ")).otherwise(F.lit("")).alias("single"),
     )
     apart = {p: " " + p.replace(" ", "  ") + " " for p in PHRASES}
     words_in = lambda c: F.regexp_count(c, F.lit("[^ ]+")).cast("long")
     places = [((F.length("spaced") - F.length(F.replace("spaced", F.lit(a), F.lit("")))) / F.lit(len(a))).cast("long").alias(PHRASES[p]) for p, a in apart.items()]
     firsts = [F.when(F.contains("spaced", F.lit(a)), words_in(F.substring_index("spaced", a, 1))) for a in apart.values()]
     lasts = [F.when(F.contains("spaced", F.lit(a)), F.col("n_words") - words_in(F.substring_index("spaced", a, -1)) - len(a.split())) for a in apart.values()]
-    tried = F.flatten(F.transform(F.filter(literal, lambda r: F.contains(F.col("single"), r["keyword"])), lambda r: r["rules"]))
-    spans = F.flatten(F.transform(tried, lambda r: _spans(F.col("single"), r)))
+    rows = rows.withColumn("found", F.when(F.col("single") != "", _matches(all_rules)))
+    spans = F.flatten(F.transform("found", _spans))
     return rows.select(
         "doc_id",
         "n_words",
         F.struct(*places).alias("places"),
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
-        F.when(F.col("single") != "", _outermost(spans)).alias("spans"),
+        F.when(F.size("found") > 0, _outermost(spans)).alias("spans"),
     )
 
 

@@ -350,7 +350,7 @@ def test_licenses(spark, odd, none):
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     labels = {i: {s["label"] for s in r["spans"] or []} for i, r in rows.items()}
     assert "apache-2.0" in labels[1]
-    assert "gpl" in labels[2] and labels[3] == {"lgpl-2.1"} and "cc-by-nc-sa-4.0" in labels[4] and labels[5] == set()
+    assert labels[2] == {"gpl-3.0"} and labels[3] == {"lgpl-2.1"} and "cc-by-nc-sa-4.0" in labels[4] and labels[5] == set()
     assert (rows[4]["places"]["cc-by"], rows[4]["places"]["reserved"], rows[4]["first_word"], rows[4]["last_word"]) == (4, 1, 2, 15)
     assert licenses.scan_licenses(clashing(odd)).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
     inside = [(0, 30, 2, "a"), (5, 20, 4, "b"), (5, 20, 1, "c"), (25, 40, 5, "d"), (0, 30, 2, "a")]
@@ -358,6 +358,37 @@ def test_licenses(spark, odd, none):
     assert [s["label"] for s in one.select(licenses._outermost(F.col("s")).alias("s")).first()["s"]] == ["a", "c", "d"]
 
 
+LICENSE_TEXTS = [
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge',
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the X nor the names of its contributors may be used to endorse or promote products. Copyright (c) 1999, © 2001. Alle Rechte vorbehalten.",
+    "GPL-2.0, gplv3; LGPL 2.1, Apache 2.0. MPL 1.1 mpl-2.0 and the\n\tCreative  Commons Attribution-ShareAlike 4.0 International License https://creativecommons.org/licenses/by-sa/4.0/ CC0",
+    "This is free and unencumbered software released into the public domain. ruby's license, GPL'd, \"commons clause\" license condition. BSD-3-Clause; 2-clause BSD",
+    "copyright 1999 " * 300,
+    "licensed under the terms of the gnu general public license version 3" * 3,
+]
+
+
+def test_license_labels_as_by_plain_rules(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(LICENSE_TEXTS, 10**6)), "doc_id long, text string"))
+    compiled = [(r, re.compile(r.pattern, re.ASCII)) for r in licenses.rules()]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"] or []] for r in licenses.scan_licenses(docs).collect()}
+    labels = set()
+    for r in docs.collect():
+        text = re.sub(r"\s+", " ", r["text"].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), flags=re.ASCII)
+        found = sorted({(m.start(), -m.end(), rule.priority, f"{rule.label}-{m[1]}" if rule.versioned else rule.label) for rule, p in compiled if rule.keyword in text for m in p.finditer(text)})
+        want = [s for i, s in enumerate(found) if not any(o[1] <= s[1] and o[2] <= s[2] for o in found[:i])]
+        assert got[r["doc_id"]] == [(a, -b, p, label) for a, b, p, label in want], text
+        labels |= {s[3] for s in want}
+    assert len(labels) > 20
+
+
+def test_running_results_cross_chunks(spark):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 63, 64, 65, 200)], "v array<int>")
+    got = rows.select(F.transform(F.array("v"), lambda v: licenses._running(v, 0, lambda x, y: x + y))[0].alias("r")).collect()
+    assert [r["r"] for r in got] == [[i * (i + 1) // 2 for i in range(n)] for n in (0, 1, 63, 64, 65, 200)]
+
+
 def test_base_phrases_of_all_documents(spark):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in catalog.QUERIES["op7_signature_rules"](spark, SF).collect()}
