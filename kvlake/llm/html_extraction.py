@@ -9,8 +9,8 @@ the log-odds that its text is main text.
 Decoding is hierarchical: over the whole tree the best consistent choice is found by
 dynamic programming, in which a chosen node takes its subtree with it except for
 descendants that are cut out as a whole, so that no node is chosen inside of one
-that is left out below a chosen one, and the reverse. Scripts, styles, forms and other elements that hold no prose
-are never text.
+that is left out below a chosen one, and the reverse. Scripts, styles and forms, and what stands in the head, are
+never text; formulas, drawings, and what a page hides are judged as any other text.
 
 The trees are trained here, on pages that a seeded generator writes in many layouts,
 with every block's role known; TRAIN_PAGES bounds them. No page of the input is
@@ -19,15 +19,18 @@ needed for it.
 Inside a block, character references are decoded and white space becomes one space;
 blocks are joined in page order by one newline, and nothing else is dropped or cut.
 
+Time grows with the length of a page, however deep its elements nest or how many are left open.
+
 Defined cases: null and empty pages, and pages without main text, give an empty text;
-a page without any markup is one block of text and is returned as such; repeated rows
-give repeated results; a null url or page_id is kept; other columns of the input are not read.
+a page without any markup is one block of text and is returned as such; very long pages are read whole; a choice whose gain ties with leaving
+out is left out; repeated rows give repeated results; a null url or page_id is kept; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -44,9 +47,14 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 
 # Fixed sets of HTML: elements without content, without prose, and those that start a block.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp noscript template svg math iframe object canvas".split())
-_SILENT = _RAW | frozenset("head form button select option input label fieldset legend datalist output dialog audio video map".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style textarea title iframe".split())
+_SILENT = _RAW | frozenset("head form button select option input label fieldset legend datalist output".split())
+_MATH = "math maction maligngroup menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml"
+_DRAWN = "svg g defs desc path rect circle ellipse line polyline polygon text tspan textpath use symbol marker mask pattern filter foreignobject lineargradient radialgradient stop clippath image"
+_FOREIGN = frozenset(f"{_MATH} {_DRAWN}".split())
+_INLINE = frozenset(
+    f"a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd map mark object picture q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr {_MATH} {_DRAWN}".split()
+)
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt tr td th tbody thead tfoot".split())
 _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -71,8 +79,11 @@ GROUPS = {
     "form": "form search login signin register input contact poll",
     "share": "share social sharing follow tags meta byline author tools print",
     "title": "title headline heading",
+    "hidden": "",  # by the attributes that hide an element
 }
 _GROUP_OF = {w: g for g, words in reversed(list(enumerate(GROUPS.values()))) for w in words.split()}
+_HIDDEN = len(GROUPS) - 1
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _TAGS = "article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote pre figure nav header footer aside body span dl".split()
 _TAG_NO = {t: i for i, t in enumerate(_TAGS)}
 
@@ -82,38 +93,51 @@ class Node:
     tag: str
     words: frozenset[int]
     parent: Node | None
-    hidden: bool = False
     parts: list[Node | str] = field(default_factory=list)  # child elements and pieces of text
     no: int = -1
 
 
-def _attributes(text: str) -> tuple[frozenset[int], bool]:
-    groups, hidden = set(), False
+def _attributes(text: str) -> frozenset[int]:
+    groups = set()
     for m in _ATTR.finditer(text):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            hidden = True
-        elif name in _NAMED:
+        if name in _NAMED:
             groups.update(_GROUP_OF[w] for w in _PARTS.findall(value) if w in _GROUP_OF)
-    return frozenset(groups), hidden
+        elif name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and _UNSEEN.search(value)):
+            groups.add(_HIDDEN)
+    return frozenset(groups)
+
+
+class _Open:
+    """The open elements of a page while it is read, and where in them each tag stands."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def _last(self, tags) -> int:
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def close(self, tags, scope=()) -> None:
+        """Close the innermost element of one of the tags, with all in it, if no element of `scope` is in between."""
+        at = self._last(tags)
+        if at and at > self._last(scope):
+            for node in self.nodes[at:]:
+                self.places[node.tag].pop()
+            del self.nodes[at:]
 
 
 def read(page: str) -> Node:
     """The tree of a page."""
     root = Node("root", frozenset(), None)
-    at, place, size = root, 0, len(page)
-
-    def close(tags, scope=()) -> None:
-        nonlocal at
-        node = at
-        while node.parent is not None and node.tag not in scope:
-            if node.tag in tags:
-                at = node.parent
-                return
-            node = node.parent
-
+    opened, place, size = _Open(root), 0, len(page)
     while place < size:
         m = _TOKEN.search(page, place)
+        at = opened.nodes[-1]
         text = page[place : m.start() if m else size]
         if text:
             at.parts.append(text)
@@ -123,27 +147,27 @@ def read(page: str) -> Node:
         if m["cdata"]:
             at.parts.append(m["cdata"])
         elif m["close"]:
-            close((m["close"].lower(),))
+            opened.close((m["close"].lower(),))
         elif m["open"]:
             tag = m["open"].lower()
             if tag in _CLOSES_P:
-                close(("p",), ("table", "td", "th", "li", "article", "section", "div", "body", "button"))
+                opened.close(("p",), ("table", "td", "th", "li", "article", "section", "div", "body", "button"))
             if tag in _SAME:
-                close(_SAME[tag], _SCOPE[tag])
+                opened.close(_SAME[tag], _SCOPE[tag])
+            at = opened.nodes[-1]
             attrs = m["attrs"] or ""
-            groups, hidden = _attributes(attrs) if attrs.strip(" /") else (frozenset(), False)
-            node = Node(tag, groups, at, hidden)
+            node = Node(tag, _attributes(attrs) if attrs.strip(" /") else frozenset(), at)
             at.parts.append(node)
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, place)
                 place = end.end() if end else size
-            elif tag not in _VOID and not attrs.endswith("/"):
-                at = node
+            elif tag not in _VOID and not (tag in _FOREIGN and attrs.endswith("/")):  # elsewhere a slash at the end means nothing
+                opened.push(node)
     return root
 
 
 def _silent(node: Node) -> bool:
-    return node.tag in _SILENT or node.hidden
+    return node.tag in _SILENT
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -201,8 +225,12 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray, list[int], np.ndarray]
     x = np.zeros((len(nodes), FEATURES), np.float32)
     total = max(1.0, whole[0, 0])
     children: list[list[int]] = [[] for _ in nodes]
+    place = [0] * len(nodes)  # among its siblings
+    alike: Counter[tuple[int, str]] = Counter()  # siblings of one tag
     for i in range(1, len(nodes)):
+        place[i] = len(children[parent[i]])
         children[parent[i]].append(i)
+        alike[parent[i], nodes[i].tag] += 1
     depth = [0] * len(nodes)
     groups = np.zeros((len(nodes), len(GROUPS)), np.float32)
     above = np.zeros((len(nodes), len(GROUPS)), np.float32)
@@ -216,10 +244,10 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray, list[int], np.ndarray]
             above[i] = np.maximum(above[up], groups[up])
             brothers = children[up]
             text, size = whole[i, 0], len(brothers)
-            at = brothers.index(i) if size <= 64 else int(np.searchsorted(brothers, i))
+            at = place[i]
             near = [whole[brothers[k], 0] for k in (at - 1, at + 1) if 0 <= k < size]
             x[i, 9:13] = (min(size, 100), at / max(1, size - 1), sum(near) / len(near) if near else 0, text / max(1.0, whole[up, 0]))
-            x[i, 13] = sum(nodes[k].tag == node.tag for k in brothers[:100])
+            x[i, 13] = min(100, alike[up, node.tag])
         c, links, elements, blocks, ends, commas = whole[i]
         x[i, :9] = (_TAG_NO.get(node.tag, -1), depth[i], np.log1p(c), links / max(1.0, c), c / max(1.0, elements), c / max(1.0, blocks), ends, commas / max(1.0, c) * 100, c / total)
         x[i, 14], x[i, 15] = np.log1p(own[i, 0]), own[i, 1] / max(1.0, own[i, 0])
@@ -404,8 +432,9 @@ def generated(pages: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
         return "<ul>" + "".join(f'<li><a href="/{i}">{words(int(rng.integers(1, 5)), mark)}</a></li>' for i in range(n)) + "</ul>"
 
     def menu() -> str:
-        n = int(rng.integers(3, 14))
-        return pick(f"<nav>{links(n)}</nav>", named("div", "menu", "main-nav", "navbar", "breadcrumbs", "toc") + links(n) + "</div>", f"<header><h1>{words(3, 'x')}</h1><nav>{links(n)}</nav></header>", named("header", "site-header", "masthead") + f"<p>{words(5, 'x')}</p>" + "</header>")
+        n = int(rng.integers(1, 14))
+        plain = pick(" ", " | ", "").join(f'<a href="/{i}">{words(int(rng.integers(1, 4)), "x")}</a>' for i in range(n))
+        return pick(f"<nav>{plain}</nav>", f"<nav><div>{plain}</div></nav>", named("div", "menu", "navbar", "links") + plain + "</div>", f"<nav>{links(n)}</nav>", named("div", "menu", "main-nav", "navbar", "breadcrumbs", "toc") + links(n) + "</div>", f"<header><h1>{words(3, 'x')}</h1><nav>{links(n)}</nav></header>", named("header", "site-header", "masthead") + f"<p>{words(5, 'x')}</p>" + "</header>")
 
     def footer() -> str:
         return pick(f"<footer>{pick('&copy; ', '')}{prose('x', 3, 40)}</footer>", named("div", "footer", "site-footer", "copyright", "legal") + f"<p>{prose('x', 3, 60)}</p></div>", f"<footer>{links(5)}<p>{prose('x', 5, 30)}</p></footer>")
@@ -432,6 +461,9 @@ def generated(pages: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
             inside += start + pick(f"<p>{prose('x', 4, 100)}</p>", prose("x", 4, 90), f"<b>{words(2, 'x')}</b><p>{prose('x', 4, 90)}</p>") + end
         return pick(named("div", "comments", "discussion", "responses comments", "reader-comments"), named("section", "comments", "comment-list", "discussion")) + f"<h3>{words(2, 'x')}</h3>" * chance(0.6) + inside + "</div>"
 
+    def formula(mark: str) -> str:
+        return f"<math><mi>{words(1, mark)}</mi><mo>=</mo><mn>{words(1, mark)}</mn></math>"
+
     def share() -> str:
         return named("div", "share", "social", "share-tools", "tags", "follow") + links(4) + "</div>"
 
@@ -455,6 +487,10 @@ def generated(pages: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
                 out += f"<figure><img src=a.png><figcaption>{words(6, 'm')}</figcaption></figure>"
             else:
                 out += f"<div>{prose('m', 5, 120)}</div>"
+            if chance(0.04):
+                out += f"<p>{formula('m')}</p>"
+            if chance(0.03):
+                out += pick("<div hidden>", '<p style="display:none">', '<div aria-hidden="true">') + prose("m", 5, 60) + "</div>"
             if chance(0.07):
                 out += pick(advert, notice, aside, share, form)()
         return out
