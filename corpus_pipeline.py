@@ -1,18 +1,19 @@
 """The corpus pipeline: quality, near duplicates, benchmark leaks, secrets, mixture.
 
 Each stage takes what its predecessor kept, with the columns of `documents`; its
-result is written as Parquet in the shared folder and read again by the next.
+result is written as Parquet in the shared folder and read again by the next. Nulls,
+empty and very long texts, ties, repeated rows, empty tables and further columns have
+the results that the operators state.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from kvlake.llm import decontamination, mixing, ngram_join, quality, secrets
-from kvlake.llm.common import table
+from kvlake.llm.common import shared_folder, table
 
 #: Near duplicates of the pipeline: five-word shingles, similarity 0.8.
 WORDS, NUM, DEN = 5, 80, 100
@@ -55,17 +56,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each returns is written and read again."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context._jsc.sc().getCheckpointDir().get()
-    else:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kvlake-pipeline-")
-    docs = table(spark, sf_dir, "documents")
-    run_id = uuid.uuid4().hex
+    """All stages over `documents`; what each returns is written and read again, and deleted once the next one is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{run_id}-{i}"
+        path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
