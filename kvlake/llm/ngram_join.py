@@ -2,8 +2,9 @@
 
 A document's set is its distinct K-word shingles, as 64-bit hashes. Documents with
 equal sets form a class with one representative. All shingles of the corpus are
-counted into a sketch of 2**ORDER_BITS counters, of fixed size, and the shingles of
-a representative are put in the order of those counts, rare first (any order that
+counted into a sketch, whose counters grow with the documents up to 2**MOST_BITS; shingles
+that are frequent within slices of text are counted by themselves as well, the HEAVY most
+frequent of them. The shingles of a representative are put in the order of those counts, rare first (any order that
 is the same for all documents is right; a rare-first one makes few candidates). Two
 sets that are similar enough share a shingle of their prefixes.
 
@@ -20,7 +21,10 @@ largest component meets all members of other components. Pairs inside of a compo
 need no check as they can't change it, and no other pair is left out, so components
 are exact.
 
-Defined cases: without words or text a set is empty and linked with nothing; a null
+Copies of a class take no part in this: at the end each document gets the component of its
+class, by a join that deals large classes out over SALTS keys.
+
+Defined cases: very long texts are read whole; shingles that tie in frequency are ordered by their hashes; without words or text a set is empty and linked with nothing; a null
 doc_id has a null component; rows with equal doc_id are one node, linked if any of
 their texts are; repeated rows give repeated results; an empty table gives no rows;
 other columns pass by unread.
@@ -39,8 +43,12 @@ from kvlake.llm.common import components, flat_words, keep, mix, nearby_labels,
 
 #: Shingles of K words; sets link from NUM / DEN on.
 K, NUM, DEN = 4, 85, 100
-#: Counters of the sketch that orders shingles: 2**ORDER_BITS, in BLOCKS blocks.
-ORDER_BITS, BLOCKS = 18, 64
+#: Counters of the sketch that orders shingles: 2**ORDER_BITS, twice as many for each doubling of the documents beyond 2**20, in BLOCKS blocks.
+ORDER_BITS, MOST_BITS, BLOCKS = 18, 22, 64
+#: A shingle of so many documents of a slice is counted by itself; so many of the most frequent ones are kept (16 bytes each).
+FREQUENT, HEAVY = 16, 100_000
+#: Keys over which the members of a class are dealt.
+SALTS = 16
 #: Hash ranges of the suffix filter.
 SPANS = 48
 #: Rounds in which members meet one hub each, before the rest meets in full.
@@ -93,8 +101,9 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _facts(k: int, bits: int):
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, text) to a row for each document: its set's size and digest; last, the task's part of the sketch."""
+        """(doc_id, text) to a row for each document: its set's size and digest; rows for frequent shingles (doc_id and block null); last, the task's part of the sketch."""
         counts = np.zeros(1 << bits, np.int64)
+        names = ["doc_id", "n", "c1", "c2", "block", "counts"]
         kind = None
         for batch in slices(batches):
             kind = batch.column("doc_id").type
@@ -102,13 +111,19 @@ def _facts(k: int, bits: int):
             counts += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(to_signed(_sums(mix(h), ends))), pa.array(to_signed(_sums(mix(h ^ np.uint64(0xA5A5A5A5)), ends))), none, pa.nulls(batch.num_rows, pa.binary())],
-                ["doc_id", "n", "c1", "c2", "block", "counts"],
+                [batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(to_signed(_sums(mix(h), ends))), pa.array(to_signed(_sums(mix(h ^ np.uint64(0xA5A5A5A5)), ends))), none, pa.nulls(batch.num_rows, pa.binary())], names
             )
+            ordered = np.sort(h)
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate([starts, [len(ordered)]]))
+            often = times >= FREQUENT
+            if m := int(often.sum()):
+                nulls = [pa.nulls(m, kind), pa.array(times[often]), pa.array(to_signed(ordered[starts[often]])), pa.nulls(m, pa.int64()), pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.binary())]
+                yield pa.RecordBatch.from_arrays(nulls, names)
         if kind is not None:
             parts = [p.astype(np.int64).tobytes() for p in np.split(counts, BLOCKS)]
             nulls = [pa.nulls(BLOCKS, t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "c1", "c2", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return facts
 
@@ -127,13 +142,17 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(shared, k: int, num: int, den: int):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, text) to the document's prefix, rare shingles first, its digest and its counts by hash range."""
-        often = shared.value
+        often, heavy, times = shared.value
         shift = np.uint64(64 - int(np.log2(len(often))))
         for batch in slices(batches):
             h, ends = shingle_sets(_texts(batch), k)
             sizes = np.diff(ends)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((h, often[(h >> shift).astype(np.int64)], owner))
+            count = often[(h >> shift).astype(np.int64)]
+            if len(heavy):
+                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                count = count + np.where(heavy[at] == h, times[at], 0)
+            order = np.lexsort((h, count, owner))
             length = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
             inside = np.arange(len(h)) - ends[owner] < length[owner]
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(to_signed(h[order][inside])))
@@ -160,12 +179,23 @@ def _suffix_filter(num: int, den: int):
     return suffix_filter
 
 
+def _sets_once(batch: pa.RecordBatch, name: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of all texts in a row, each different text read once: pairs of a hub follow each other."""
+    coded = batch.column(name).cast(pa.binary()).dictionary_encode()
+    h, ends = shingle_sets(coded.dictionary.to_pylist(), k)
+    which = coded.indices.to_numpy()
+    sizes = np.diff(ends)[which]
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(ends[which] - out[:-1], sizes) + np.arange(out[-1])
+    return h[at], out
+
+
 def _verify(k: int, num: int, den: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, text_a, text_b) to the pairs that link, with the sizes of intersection and union."""
         for batch in slices(batches, "text_a"):
             for part in slices(iter([batch]), "text_b"):
-                (ha, ea), (hb, eb) = shingle_sets(_texts(part, "text_a"), k), shingle_sets(_texts(part, "text_b"), k)
+                (ha, ea), (hb, eb) = _sets_once(part, "text_a", k), _sets_once(part, "text_b", k)
                 na, nb = np.diff(ea), np.diff(eb)
                 own = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
                 h = np.concatenate([ha, hb])
@@ -194,23 +224,30 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int)
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, num, den), f"a {kind}, b {kind}, n_common long, n_union long")
 
 
-def join_classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, order_bits: int = ORDER_BITS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def join_classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, order_bits: int | None = None, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`.
 
     Two documents link when den * intersection >= num * union of their sets.
     """
     spark = docs.sparkSession
+    if order_bits is None:
+        order_bits = min(MOST_BITS, ORDER_BITS + max(0, docs.count() - 1 >> 20).bit_length())
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = keep(docs.mapInArrow(_facts(k, order_bits), f"doc_id {kind}, n long, c1 long, c2 long, block int, counts binary"))
     facts = both.where("block is null").select("doc_id", "n", "c1", "c2")
-    blocks = both.where("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_add_blocks, "block int, counts binary").collect()  # BLOCKS rows
+    blocks = both.where("block >= 0").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(_add_blocks, "block int, counts binary").collect()  # BLOCKS rows
     if not blocks:
         return facts.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     often = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(blocks, key=lambda r: r["block"])])
-    shared = spark.sparkContext.broadcast(often)
+    frequent = both.where("block = -1").groupBy(F.col("c1").alias("h")).agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "h").limit(HEAVY).toPandas()  # HEAVY rows at most
+    heavy = frequent["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(heavy)
+    heavy, times = heavy[order], frequent["times"].to_numpy(np.int64)[order]
+    often = often - np.bincount((heavy >> np.uint64(64 - order_bits)).astype(np.int64), times, len(often)).astype(np.int64)  # of all others
+    shared = spark.sparkContext.broadcast((often, heavy, times))
     linked = facts.where("n > 0 and doc_id is not null")
-    classes = linked.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = linked.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     reps = classes.select("rep", "c1", "c2")
     found = docs.mapInArrow(_prefixes(shared, k, num, den), f"doc_id {kind}, n long, c1 long, c2 long, tokens array<long>, spans binary")
     found = keep(found.withColumnRenamed("doc_id", "rep").join(reps, ["rep", "c1", "c2"], "left_semi").select("rep", "n", "tokens", "spans"))
@@ -263,10 +300,24 @@ def join_classes(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, or
         right = members.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("comp_b"))
         met = left.join(right, "token").where("comp_a != comp_b and (comp_b = largest or a < b)")
         settle(candidates(met.select("a", "na", "pa", "b", "nb", "pb")))
-    copies = linked.join(classes.select("c1", "c2", "n", "rep"), ["c1", "c2", "n"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = copies if links is None else copies.unionByName(links.select("a", "b"))
-    final = components(edges).select(F.col("id").alias("doc_id"), "component")
-    return facts.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    edges = links.select("a", "b") if links is not None else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    # Rows of one doc_id with different texts are one node of several classes.
+    several = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "c1", "c2")).alias("low"), F.max(F.struct("n", "c1", "c2")).alias("high")).where("low != high").select("doc_id")
+    several = keep(several)
+    some = not several.isEmpty()
+    if some:
+        edges = edges.unionByName(linked.join(several, "doc_id", "left_semi").join(classes, ["c1", "c2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final = keep(components(edges))
+    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).where("size > 1 or component != rep")
+    # A class may have a share of all rows: its members are dealt over SALTS keys.
+    dealt = named.select("c1", "c2", "n", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = facts.withColumn("salt", F.pmod(F.xxhash64(F.lit("deal"), "doc_id"), F.lit(SALTS)).cast("int")).join(dealt, ["c1", "c2", "n", "salt"], "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    if some:
+        own = final.join(several, final["id"] == several["doc_id"], "left_semi")
+        rows = rows.join(own, rows["doc_id"] == own["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    return rows
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

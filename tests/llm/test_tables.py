@@ -106,6 +106,13 @@ def test_ngram_join_odd_rows(spark, odd, none):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4] and kept.columns == clashing(odd).columns
 
 
+def test_ngram_join_rows_of_one_id_and_a_large_class(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, text(0)) for i in range(100, 400)] + [(7, text(1)), (7, text(0)), (7, ""), (50, text(1)), (60, text(2)), (None, text(0))]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 17, 7) for i in range(100, 400)} | {(7, 17, 7), (7, 0, 7), (50, 17, 7), (60, 17, 60), (None, 17, None)}
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(3000)]
@@ -450,3 +457,4 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in steps[names[2]].collect()} == {i for i in own if own[i] == i} - leaked
     assert all(not secrets.base_spans(r["text"]) for r in steps[names[3]].collect())
     assert {r["doc_id"] for r in steps[names[4]].collect()} <= {r["doc_id"] for r in steps[names[3]].collect()}
+    assert rows_of(corpus_pipeline.run(spark, SF)) == rows_of(steps[names[4]])
