@@ -1,4 +1,4 @@
-"""Byte-string and bit functions as columns. Text counts as its bytes; tests keep to ASCII where it matters."""
+"""Byte-string and bit functions as columns. Text counts as its bytes."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ WORD = 1 << 32
 
 
 def codes(text: Column) -> Column:
-    """The byte values of a string, as an array of longs."""
-    raw = F.hex(F.encode(text, "UTF-8"))
+    """The byte values of a string or byte string, as an array of longs."""
+    raw = F.hex(text)
     at = F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw), F.lit(2))).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("long"))
 
@@ -20,24 +20,36 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two strings."""
-    n = F.least(F.length(a), F.length(b))
-    differs = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, n)
+def _byte(raw: Column, at: Column) -> Column:
+    """The byte at a place (from 0) of a byte string in hexadecimal, as two digits."""
+    return F.substring(raw, at * 2 + 1, F.lit(2))
+
+
+def _first(count: Column, test) -> Column:
+    """The first place below count that passes the test, or null."""
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.try_element_at(F.filter(places, test), F.lit(1))
+
+
+def _raised(raw: Column, at: Column) -> Column:
+    """The byte string up to a place, whose byte is raised by one."""
+    return F.unhex(F.concat(F.substring(raw, F.lit(1), at * 2), F.lpad(F.hex(F.conv(_byte(raw, at), 16, 10).cast("long") + 1), 2, "0")))
 
 
 def shortest_separator(start: Column, limit: Column) -> Column:
-    """A short string from start on and before limit: the byte where they part is raised if that leaves it below limit's."""
-    p = common_prefix(start, limit)
-    mine, theirs = F.ascii(F.substring(start, p + 1, F.lit(1))), F.ascii(F.substring(limit, p + 1, F.lit(1)))
-    raised = F.concat(F.substring(start, F.lit(1), p), F.char((mine + 1).cast("long")))
-    return F.when((p < F.least(F.length(start), F.length(limit))) & (mine < 127) & (mine + 1 < theirs), raised).otherwise(start)
+    """A short byte string from start on and before limit: the byte where they part is raised if that leaves it below limit's."""
+    a, b = F.hex(start), F.hex(limit)
+    size = F.least(F.length(a), F.length(b)) / 2
+    p = _first(size.cast("int"), lambda i: _byte(a, i) != _byte(b, i))
+    mine, theirs = F.conv(_byte(a, p), 16, 10).cast("int"), F.conv(_byte(b, p), 16, 10).cast("int")
+    return F.when(p.isNotNull() & (mine < 255) & (mine + 1 < theirs), _raised(a, p)).otherwise(start.cast("binary"))
 
 
 def short_successor(key: Column) -> Column:
-    """A short string after the key: its first byte raised (ASCII keys)."""
-    return F.when(F.length(key) > 0, F.char((F.ascii(key) + 1).cast("long"))).otherwise(key)
+    """A short byte string after the key: its first byte below 0xFF raised, the rest cut; a run of 0xFF stays."""
+    raw = F.hex(key)
+    p = _first((F.length(raw) / 2).cast("int"), lambda i: _byte(raw, i) != "FF")
+    return F.when(p.isNotNull(), _raised(raw, p)).otherwise(key.cast("binary"))
 
 
 def tag(version: Column, flag: Column) -> Column:
@@ -57,6 +69,18 @@ def varint_size(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
 
 
+def varint_encode(n: Column) -> Column:
+    """A number from 0 on as bytes of seven bits, the highest first; all but the last have the top bit set."""
+    groups = F.sequence(varint_size(n) - 1, F.lit(0), F.lit(-1))
+    digit = lambda i: F.call_function("shiftrightunsigned", n.cast("long"), i * 7).bitwiseAND(127).bitwiseOR(F.when(i > 0, 128).otherwise(0))
+    return F.unhex(F.array_join(F.transform(groups, lambda i: F.lpad(F.hex(digit(i)), 2, "0")), ""))
+
+
+def varint_decode(raw: Column) -> Column:
+    """The number that the bytes of a varint say."""
+    return F.aggregate(codes(raw), F.lit(0).cast("long"), lambda n, b: n * 128 + b.bitwiseAND(127))
+
+
 def popcount(n: Column) -> Column:
     return F.bit_count(n)
 

@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.operators.ordered import HOT_ROWS, join_per_key
 from kvlake.sources.tables import DELETION, VALUE
 
 #: Fixed limits: files of level 0, bytes of a level (times level + 1), and the last level.
 L0_FILES, LEVEL_BYTES, LAST_LEVEL = 10, 80 << 20, 3
 
 
-def merge_inputs(log: DataFrame, oldest: int = 0, point=None) -> DataFrame:
-    """What one compaction keeps of its inputs: no deletion, nothing a deletion hides, nothing older than `oldest`, keys from `point` on."""
+def merge_inputs(log: DataFrame, oldest: int = 0, point=None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """What one compaction keeps of its inputs: no deletion, nothing a deletion hides, nothing older than `oldest`, keys from `point` on.
+
+    How far the deletions of a key hide is a grouped maximum with partial results, joined back: no key's versions are gathered.
+    """
     rows = log if point is None else log.where(F.col("k") >= F.lit(point))
-    hidden_to = F.max(F.when(F.col("flag") == DELETION, F.col("v"))).over(Window.partitionBy("k"))
-    kept = rows.withColumn("_hidden", F.coalesce(hidden_to, F.lit(-1)))
-    return kept.where((F.col("flag") == VALUE) & (F.col("v") > F.col("_hidden")) & (F.col("v") >= oldest)).drop("_hidden")
+    hidden_to = F.max(F.when(F.col("flag") == DELETION, F.col("v")))
+    per_key = rows.groupBy("k").agg(F.coalesce(hidden_to, F.lit(-1)).alias("_hidden"), F.count("*").alias("_n"))
+    live = join_per_key(rows.where((F.col("flag") == VALUE) & (F.col("v") >= oldest)), per_key, hot_rows)
+    return live.where(F.col("v") > F.col("_hidden")).select(*log.columns)
 
 
-def collect_garbage(log: DataFrame, horizon: int, full: bool = True) -> DataFrame:
+def collect_garbage(log: DataFrame, horizon: int, full: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Records that reads at snapshots from the horizon on can see.
 
     Of each key what is newer than the horizon, and the newest of the rest; that one
     goes too if it is a deletion and the log holds all older records (`full`).
     """
-    at = F.max(F.when(F.col("v") <= horizon, F.col("v"))).over(Window.partitionBy("k"))
-    rows = log.withColumn("_at", at)
+    per_key = log.groupBy("k").agg(F.coalesce(F.max(F.when(F.col("v") <= horizon, F.col("v"))), F.lit(-1)).alias("_at"), F.count("*").alias("_n"))
     newest = F.col("v") == F.col("_at")
     if full:
         newest = newest & (F.col("flag") == VALUE)
-    return rows.where((F.col("v") > horizon) | newest).drop("_at")
+    return join_per_key(log, per_key, hot_rows).where((F.col("v") > horizon) | newest).select(*log.columns)
 
 
 def level_stats(files: DataFrame) -> DataFrame:
@@ -104,5 +108,6 @@ def purge_version(log: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame
 def purge_step(log: DataFrame, cursor, horizon: int, size: int = 100) -> DataFrame:
     """The records after the cursor key that one bounded purge looks at and would remove."""
     looked = log.where(F.col("k") > F.lit(cursor)).orderBy("k", F.col("v").desc()).limit(size)
-    keep = collect_garbage(log, horizon).select("k", "v")
+    keys = F.broadcast(looked.select("k").distinct())  # size rows at most
+    keep = collect_garbage(log.join(keys, "k", "left_semi"), horizon).select("k", "v")
     return looked.join(keep, ["k", "v"], "left_anti")

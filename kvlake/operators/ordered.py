@@ -6,17 +6,20 @@ Rows are sorted by range into partitions; what a partition needs of those before
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.folders import shared_folder
+
+#: Rows of a key that one task of a join takes; keys with more are dealt over several.
+HOT_ROWS = 1_000_000
+#: Hot keys are broadcast up to this number; with more, each has a place in the join of its own.
+BROADCAST_HOT = 100_000
+
 
 def keep(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in `spark.checkpoint.dir` (in a folder of its own only where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kvlake-checkpoint-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,12 +48,39 @@ def running_sum(rows: DataFrame, value: str, *order, name: str = "running") -> D
     return at.join(_offsets(at, F.col(value)), "_part").withColumn(name, (F.sum(value).over(upto) + F.col("_before")).cast("long")).drop("_at", "_part", "_before")
 
 
+def _beside(at: DataFrame, value: Column, name: str, back: bool) -> DataFrame:
+    """Sorted rows with the value (not null) of the row before, or after, each: within partitions, and over their edges by one value a partition."""
+    order = (lambda c: F.col(c).asc()) if back else (lambda c: F.col(c).desc())
+    inside = F.lag(value).over(Window.partitionBy("_part").orderBy(order("_at")))
+    edge = at.groupBy("_part").agg((F.max_by if back else F.min_by)(value, "_at").alias("_edge"))
+    carried = edge.select("_part", F.lag("_edge").over(Window.orderBy(order("_part"))).alias("_carried"))  # a row a partition
+    found = at.withColumn("_inside", inside).join(F.broadcast(carried), "_part")
+    return found.withColumn(name, F.coalesce("_inside", "_carried")).drop("_inside", "_carried")
+
+
 def neighbours(rows: DataFrame, key: str = "k") -> DataFrame:
-    """`rows` (unique keys) with the keys before and after each."""
-    placed = ranked(rows, key, name="_rank")
-    before = placed.select((F.col("_rank") + 1).alias("_rank"), F.col(key).alias("prev_k"))
-    after = placed.select((F.col("_rank") - 1).alias("_rank"), F.col(key).alias("next_k"))
-    return placed.join(before, "_rank", "left").join(after, "_rank", "left").drop("_rank")
+    """`rows` (unique keys, not null) with the keys before and after each."""
+    at = _sorted(rows, [key])
+    return _beside(_beside(at, F.col(key), "prev_k", True), F.col(key), "next_k", False).drop("_at", "_part")
+
+
+def with_previous(rows: DataFrame, columns: list[str], *order, name: str = "before") -> DataFrame:
+    """`rows` in an order, each with a struct of the columns of the row before it."""
+    at = _sorted(rows, list(order))
+    return _beside(at, F.struct(*columns), name, True).drop("_at", "_part")
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """`rows` (k, v, ...) with what `per_key` (k, _n, ...) says of their key; _n is the number of the key's rows, by which hot keys are dealt over several tasks."""
+    per_key = keep(per_key)
+    parts = F.ceil(F.col("_n") / hot_rows).cast("int")
+    hot = keep(per_key.where(F.col("_n") > hot_rows).select("k", parts.alias("_parts")))
+    if hot.isEmpty():
+        return rows.join(per_key.drop("_n"), "k")
+    hot = F.broadcast(hot) if hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT else hot
+    dealt = rows.join(hot, "k", "left").withColumn("_part", F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    spread = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1))).drop("_n")
+    return dealt.join(spread, ["k", "_part"]).drop("_part")
 
 
 def first_at_least(probes: DataFrame, keys: DataFrame, probe: str = "probe", key: str = "k") -> DataFrame:

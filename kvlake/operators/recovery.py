@@ -1,11 +1,11 @@
-"""Recovery from a log of fragments: reassembly, and the prefix before the first bad record."""
+"""Recovery from a log: reassembly of fragments, the prefix before the first bad record, and its replay."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.operators.ordered import running_sum
+from kvlake.operators.ordered import ranked, running_sum
 
 
 def fragments(records: DataFrame, block: int, header: int = 7) -> DataFrame:
@@ -29,3 +29,13 @@ def valid_prefix(log: DataFrame, bad) -> DataFrame:
     """Records before the first bad one."""
     first = log.where(bad).agg(F.min("pos").alias("first_bad"))
     return log.crossJoin(F.broadcast(first)).where(F.col("first_bad").isNull() | (F.col("pos") < F.col("first_bad"))).drop("first_bad")  # one row
+
+
+def checksum(payload: str = "payload"):
+    return F.crc32(F.col(payload).cast("binary"))
+
+
+def replay(log: DataFrame, last_version: int) -> DataFrame:
+    """The records (pos, payload, crc, ...) before the first one whose checksum fails, with the versions last_version + 1, ... that a replay gives them."""
+    good = valid_prefix(log, ~checksum().eqNullSafe(F.col("crc")))
+    return ranked(good, "pos", name="_n").withColumn("v", F.col("_n") + last_version).drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.operators.ordered import with_previous
 from kvlake.sources.tables import DELETION, VALUE
 
 #: Keys of a multi-get are broadcast up to this number; beyond it the join shuffles.
@@ -14,11 +15,14 @@ BROADCAST_KEYS = 100_000
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest record of each key with a version of at most the snapshot, deletions too.
 
-    One grouped aggregation with partial results before the shuffle. Each column has its own
-    maximum, as buffers of plain numbers are hashed where a struct would have the log sorted.
+    One grouped maximum of whole records, with partial results before the shuffle. Of records
+    with equal key and version the one of the first run is taken (by `run`, where the log has
+    it), as in a merge; without runs a deletion, then the greatest value.
     """
     rows = log if snapshot is None else log.where(F.col("v") <= snapshot)
-    return rows.groupBy("k").agg(F.max("v").alias("newest"), F.max_by("flag", "v").alias("flag"), F.max_by("val", "v").alias("val")).select("k", F.col("newest").alias("v"), "flag", "val")
+    run = -F.col("run") if "run" in log.columns else F.lit(0)
+    top = rows.groupBy("k").agg(F.max(F.struct("v", run.alias("tie"), "flag", "val")).alias("top"))
+    return top.select("k", "top.v", "top.flag", "top.val")
 
 
 def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -49,8 +53,16 @@ def tombstones(log: DataFrame) -> DataFrame:
 
 
 def previous_values(log: DataFrame) -> DataFrame:
-    """Each record with the value that it replaced."""
-    return log.withColumn("previous", F.lag("val").over(Window.partitionBy("k").orderBy("v")))
+    """Each record with the value that it replaced (by range partitions, so no key's versions are gathered)."""
+    rows = with_previous(log, ["k", "val"], "k", "v", name="_before")
+    return rows.withColumn("previous", F.when(F.col("_before.k").eqNullSafe(F.col("k")), F.col("_before.val"))).drop("_before")
+
+
+def upserts(log: DataFrame, writes: DataFrame) -> DataFrame:
+    """Each write (k, v, flag, val) with whether its key and version are in the log already, and the value that stands there."""
+    there = log.select("k", "v", F.lit(True).alias("_there"), F.col("val").alias("old_value"))
+    found = writes.join(there, ["k", "v"], "left")
+    return found.select(*writes.columns, F.coalesce("_there", F.lit(False)).alias("already_existed"), "old_value")
 
 
 def newest_version(log: DataFrame) -> int:

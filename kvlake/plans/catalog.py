@@ -62,9 +62,9 @@ def snapshot_scan(spark, d):
     return visible.visible(log, _half(log))
 
 
-@query("point_get", f"WITH {EV}, {NEWEST} SELECT k, v, val FROM newest WHERE flag = 0 AND k = 8")
+@query("point_get", f"WITH {EV}, {NEWEST} SELECT k, v, val FROM newest WHERE flag = 0 AND k = 9")
 def point_get(spark, d):
-    return visible.get(src.event_log(spark, d), 8)
+    return visible.get(src.event_log(spark, d), 9)
 
 
 @query("snapshot_get", f"WITH {EV} SELECT k, v, val FROM (SELECT * FROM ev WHERE k = 8 AND v <= (SELECT max(v) // 2 FROM ev) QUALIFY row_number() OVER (PARTITION BY k ORDER BY v DESC) = 1) WHERE flag = 0")
@@ -78,9 +78,9 @@ def get_not_found(spark, d):
     return visible.get(src.event_log(spark, d), -1)
 
 
-@query("multi_get", f"WITH {EV}, {NEWEST} SELECT k, v, val FROM newest WHERE flag = 0 AND k IN (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 7 = 3)")
+@query("multi_get", f"WITH {EV}, {NEWEST} SELECT k, v, val FROM newest WHERE flag = 0 AND k IN (SELECT c_custkey FROM customer)")
 def multi_get(spark, d):
-    keys = src.table(spark, d, "customer").where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("k"))
+    keys = src.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     return visible.multi_get(src.event_log(spark, d), keys)
 
 
@@ -104,6 +104,13 @@ def previous_value(spark, d):
     return visible.previous_values(src.part_log(spark, d))
 
 
+@query("upsert_existing", f"WITH {PART}, w AS (SELECT k, CASE WHEN v % 3 = 0 THEN v + 1000000 ELSE v END AS v, flag, upper(val) AS val FROM pt) SELECT w.k, w.v, w.flag, w.val, pt.v IS NOT NULL AS already_existed, pt.val AS old_value FROM w LEFT JOIN pt ON w.k = pt.k AND w.v = pt.v")
+def upsert_existing(spark, d):
+    log = src.part_log(spark, d)
+    writes = log.select("k", F.when(F.col("v") % 3 == 0, F.col("v") + 1_000_000).otherwise(F.col("v")).alias("v"), "flag", F.upper("val").alias("val"))
+    return visible.upserts(log, writes)
+
+
 # Cursors.
 
 
@@ -204,6 +211,15 @@ def merge_empty(spark, d):
     return merge.merge(spark, [])
 
 
+_AT_HALF = "half AS (SELECT * FROM ev WHERE v <= (SELECT max(v) // 2 FROM ev) QUALIFY row_number() OVER (PARTITION BY k ORDER BY v DESC) = 1)"
+
+
+@query("merged_visible", f"WITH {EV}, {_AT_HALF} SELECT k, v, val, row_number() OVER (ORDER BY k) AS rank FROM half WHERE flag = 0")
+def merged_visible(spark, d):
+    log = src.event_log(spark, d)
+    return merge.merged_visible(spark, [log.where(F.col("v") % 3 == i) for i in range(3)], _half(log))
+
+
 # Writing.
 
 
@@ -382,6 +398,14 @@ def log_reassemble(spark, d):
     return recovery.reassemble(_fragments(spark, d))
 
 
+@query("log_replay", "WITH e AS (SELECT * FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_type = 'purchase' AND event_id > 100)) SELECT event_id AS pos, event_type AS payload, row_number() OVER (ORDER BY event_id) + 5000 AS v FROM e")
+def log_replay(spark, d):
+    log = src.table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("payload"))
+    log = log.withColumn("crc", recovery.checksum())
+    torn = (F.col("payload") == "purchase") & (F.col("pos") > 100)  # bytes that changed after they were summed
+    return recovery.replay(log.withColumn("payload", F.when(torn, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))), 5000).drop("crc")
+
+
 @query("log_valid_prefix", "SELECT event_id AS pos, event_type FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_type = 'purchase' AND event_id > 100)")
 def log_valid_prefix(spark, d):
     log = src.table(spark, d, "events").select(F.col("event_id").alias("pos"), "event_type")
@@ -410,20 +434,35 @@ def starts_with(spark, d):
 
 @query("remove_prefix", f"WITH {_N} SELECT id, substr(s, 4) AS rest, strlen(s)::INT AS size, ascii(substr(s, 2, 1))::INT AS second FROM n")
 def remove_prefix(spark, d):
-    return _names(spark, d).select("id", F.substring("s", 4, 1 << 20).alias("rest"), F.octet_length("s").alias("size"), F.ascii(F.substring("s", 2, 1)).alias("second"))
+    return _names(spark, d).select("id", F.substring("s", F.lit(4), F.length("s")).alias("rest"), F.octet_length("s").alias("size"), F.ascii(F.substring("s", 2, 1)).alias("second"))
+
+
+# Byte strings in hexadecimal: names, some after bytes 0xFF, and some of nothing else.
+_H = "h AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'FFFFFF' WHEN id % 7 = 0 THEN 'FFFF' || hex(s) ELSE hex(s) END AS s, CASE WHEN id % 7 = 0 THEN 'FFFF' || hex(t) ELSE hex(t) END AS t FROM n)"
+_AT = "substr(s, 2 * p + 1, 2)"
 
 
-_P = "p AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(s), length(t)) + 1), lambda i: substr(s, i, 1) <> substr(t, i, 1))) - 1, least(length(s), length(t))) AS p FROM n), q AS (SELECT *, ascii(substr(s, p + 1, 1)) AS a, ascii(substr(t, p + 1, 1)) AS b FROM p)"
+def _byte_names(spark, d):
+    i, s, t = F.col("id"), F.hex("s"), F.hex("t")
+    s = F.when(i % 11 == 0, "FFFFFF").when(i % 7 == 0, F.concat(F.lit("FFFF"), s)).otherwise(s)
+    t = F.when(i % 7 == 0, F.concat(F.lit("FFFF"), t)).otherwise(t)
+    return _names(spark, d).select("id", F.unhex(s).alias("s"), F.unhex(t).alias("t"))
 
 
-@query("shortest_separator", f"WITH {_N}, {_P} SELECT id, CASE WHEN p < least(length(s), length(t)) AND a < 127 AND a + 1 < b THEN substr(s, 1, p) || chr((a + 1)::INT) ELSE s END AS separator FROM q")
+@query(
+    "shortest_separator",
+    f"WITH {_N}, {_H}, p AS (SELECT *, list_min(list_filter(range(0, least(length(s), length(t)) // 2), lambda i: substr(s, 2 * i + 1, 2) <> substr(t, 2 * i + 1, 2))) AS p FROM h), q AS (SELECT *, ('0x' || {_AT})::INT AS a, ('0x' || substr(t, 2 * p + 1, 2))::INT AS b FROM p) SELECT id, CASE WHEN p IS NOT NULL AND a < 255 AND a + 1 < b THEN substr(s, 1, 2 * p) || printf('%02X', a + 1) ELSE s END AS separator FROM q",
+)
 def shortest_separator(spark, d):
-    return _names(spark, d).select("id", scalars.shortest_separator(F.col("s"), F.col("t")).alias("separator"))
+    return _byte_names(spark, d).select("id", F.hex(scalars.shortest_separator(F.col("s"), F.col("t"))).alias("separator"))
 
 
-@query("short_successor", f"WITH {_N} SELECT id, chr((ascii(s) + 1)::INT) AS successor FROM n")
+@query(
+    "short_successor",
+    f"WITH {_N}, {_H}, p AS (SELECT *, list_min(list_filter(range(0, length(s) // 2), lambda i: substr(s, 2 * i + 1, 2) <> 'FF')) AS p FROM h) SELECT id, CASE WHEN p IS NULL THEN s ELSE substr(s, 1, 2 * p) || printf('%02X', ('0x' || {_AT})::INT + 1) END AS successor FROM p",
+)
 def short_successor(spark, d):
-    return _names(spark, d).select("id", scalars.short_successor(F.col("s")).alias("successor"))
+    return _byte_names(spark, d).select("id", F.hex(scalars.short_successor(F.col("s"))).alias("successor"))
 
 
 @query("tag_codec", f"WITH {EV} SELECT k, v, (v << 8) | flag AS tag, v AS version, flag::BIGINT AS its_flag FROM ev")
@@ -443,13 +482,22 @@ _FOLDS = {
 }
 
 
-def _hash_sql(name: str) -> str:
+def _fold_sql(name: str) -> str:
     start, step = _FOLDS[name]
-    return f"WITH {_N} SELECT id, (list_reduce(list_prepend({start}::HUGEINT, {_CODES}), lambda h, c: {step}) % 2147483648)::BIGINT AS hash FROM n"
+    return f"(list_reduce(list_prepend({start}::HUGEINT, {_CODES}), lambda h, c: {step}) % 2147483648)::BIGINT"
+
+
+def _hash_sql(name: str) -> str:
+    return f"WITH {_N} SELECT id, {_fold_sql(name)} AS hash FROM n"
 
 
-_RS = f"WITH RECURSIVE {_N}, f AS (SELECT id, s, 0 AS i, 0::HUGEINT AS h, 63689::HUGEINT AS a FROM n UNION ALL SELECT id, s, i + 1, (h * a + ascii(substr(s, i + 1, 1))) % {_W}, (a * 378551) % {_W} FROM f WHERE i < length(s)) SELECT id, (h % 2147483648)::BIGINT AS hash FROM f WHERE i = length(s)"
-_AP = f"WITH RECURSIVE {_N}, f AS (SELECT id, s, 0 AS i, 0::BIGINT AS h FROM n UNION ALL SELECT id, s, i + 1, xor(h, CASE WHEN i % 2 = 0 THEN xor(xor((h * 128) % {_W}, ascii(substr(s, i + 1, 1))::BIGINT), h // 8) ELSE 4294967295 - xor(xor((h * 2048) % {_W}, ascii(substr(s, i + 1, 1))::BIGINT), h // 32) END) FROM f WHERE i < length(s)) SELECT id, (h % 2147483648)::BIGINT AS hash FROM f WHERE i = length(s)"
+# Folds that need more than one number, as recursive tables over n (id, s).
+_RS = f"rs AS (SELECT id, s, 0 AS i, 0::HUGEINT AS h, 63689::HUGEINT AS a FROM n UNION ALL SELECT id, s, i + 1, (h * a + ascii(substr(s, i + 1, 1))) % {_W}, (a * 378551) % {_W} FROM rs WHERE i < length(s))"
+_AP = f"ap AS (SELECT id, s, 0 AS i, 0::BIGINT AS h FROM n UNION ALL SELECT id, s, i + 1, xor(h, CASE WHEN i % 2 = 0 THEN xor(xor((h * 128) % {_W}, ascii(substr(s, i + 1, 1))::BIGINT), h // 8) ELSE 4294967295 - xor(xor((h * 2048) % {_W}, ascii(substr(s, i + 1, 1))::BIGINT), h // 32) END) FROM ap WHERE i < length(s))"
+
+
+def _recursive_sql(table: str, sql: str) -> str:
+    return f"WITH RECURSIVE {_N}, {sql} SELECT id, (h % 2147483648)::BIGINT AS hash FROM {table} WHERE i = length(s)"
 
 
 def _hash_query(f) -> Query:
@@ -458,11 +506,15 @@ def _hash_query(f) -> Query:
 
 for _name, _f in (("bkdr", hashes.bkdr), ("djb", hashes.djb), ("js", hashes.js), ("elf", hashes.elf), ("pjw", hashes.pjw)):
     query(f"hash_{_name}", _hash_sql(_name))(_hash_query(_f))
-query("hash_rs", _RS)(_hash_query(hashes.rs))
-query("hash_ap", _AP)(_hash_query(hashes.ap))
+query("hash_rs", _recursive_sql("rs", _RS))(_hash_query(hashes.rs))
+query("hash_ap", _recursive_sql("ap", _AP))(_hash_query(hashes.ap))
+
+
+# Bit by bit, the lowest first; 3988292384 is the reversed polynomial of CRC-32.
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({_CODES}, lambda c: c::BIGINT)), lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, 3988292384 * (x % 2)))), 4294967295)"
 
 
-@query("crc32")
+@query("crc32", f"WITH {_N} SELECT id, {_CRC} AS crc FROM n")
 def crc32(spark, d):
     return _names(spark, d).select("id", F.crc32(F.col("s").cast("binary")).alias("crc"))
 
@@ -472,6 +524,30 @@ def varint_size(spark, d):
     return src.event_log(spark, d).select("v", scalars.varint_size(F.col("v") * F.col("v") * 37).alias("size"))
 
 
+_VALUES = "n AS (SELECT event_id AS v, event_id::BIGINT * event_id * 37 AS x FROM events)"
+_BYTE_OF = "printf('%02X', (((x >> (7 * i)) & 127) | CASE WHEN i > 0 THEN 128 ELSE 0 END)::INT)"
+
+
+@query("varint_encode", f"WITH {_VALUES} SELECT v, array_to_string(list_transform(range(greatest(1, ceil(length(bin(x)) / 7))::BIGINT - 1, -1, -1), lambda i: {_BYTE_OF}), '') AS bytes FROM n")
+def varint_encode(spark, d):
+    return src.event_log(spark, d).select("v", F.hex(scalars.varint_encode(F.col("v") * F.col("v") * 37)).alias("bytes"))
+
+
+@query("varint_decode", f"WITH {_VALUES} SELECT v, x AS decoded FROM n")
+def varint_decode(spark, d):
+    return src.event_log(spark, d).select("v", scalars.varint_decode(scalars.varint_encode(F.col("v") * F.col("v") * 37)).alias("decoded"))
+
+
+@query("clz64", f"WITH {_VALUES} SELECT v, (CASE WHEN x = 0 THEN 64 ELSE 64 - length(bin(x)) END)::INT AS zeros FROM n")
+def clz64(spark, d):
+    return src.event_log(spark, d).select("v", scalars.leading_zeros(F.col("v") * F.col("v") * 37, 64).cast("int").alias("zeros"))
+
+
+@query("ctz64", f"WITH {_VALUES} SELECT v, (CASE WHEN x = 0 THEN 64 ELSE bit_count((x & -x) - 1) END)::INT AS zeros FROM n")
+def ctz64(spark, d):
+    return src.event_log(spark, d).select("v", scalars.trailing_zeros(F.col("v") * F.col("v") * 37, 64).cast("int").alias("zeros"))
+
+
 @query("popcount", f"WITH {EV} SELECT v, bit_count(v)::INT AS ones FROM ev")
 def popcount(spark, d):
     return src.event_log(spark, d).select("v", scalars.popcount(F.col("v")).alias("ones"))
@@ -504,13 +580,20 @@ def _offered(spark, d):
     return src.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("s"))
 
 
-@query("bloom_test")
+_BLOOM = (
+    f"WITH RECURSIVE n AS (SELECT c_custkey AS id, c_name AS s FROM customer), {_RS}, {_AP}, g AS (SELECT id, [{_fold_sql('js')}, {_fold_sql('bkdr')}, {_fold_sql('elf')}] AS hs FROM n), "
+    f"p AS (SELECT g.id, rs.s, unnest(list_concat(hs, [ap.h % 2147483648, (rs.h % 2147483648)::BIGINT])) % {1 << 14} AS bit "
+    "FROM g JOIN rs ON rs.id = g.id AND rs.i = length(rs.s) JOIN ap ON ap.id = g.id AND ap.i = length(ap.s)), bits AS (SELECT DISTINCT bit FROM p WHERE id % 3 = 0)"
+)
+
+
+@query("bloom_test", f"{_BLOOM} SELECT s, bool_and(bit IN (SELECT bit FROM bits)) AS present FROM p GROUP BY s")
 def bloom_test(spark, d):
     tested = src.table(spark, d, "customer").select(F.col("c_name").alias("s"))
     return bloom.test(tested, bloom.build(_offered(spark, d), 1 << 14), 1 << 14)
 
 
-@query("bloom_count")
+@query("bloom_count", f"{_BLOOM} SELECT count(*) // 5 AS n FROM bits")
 def bloom_count(spark, d):
     return bloom.count(bloom.build(_offered(spark, d), 1 << 14))
 
@@ -520,9 +603,9 @@ def bitmap_count(spark, d):
     return src.event_log(spark, d).select("k").distinct().groupBy(F.floor(F.col("k") / 32).alias("word")).agg(F.count("*").alias("bits"))
 
 
-@query("space_ratio", f"WITH {EV} SELECT round(count(DISTINCT k % 97) / 97.0, 6)::DOUBLE AS ratio FROM ev WHERE k % 3 = 1")
+@query("space_ratio", f"WITH {EV} SELECT round(count(DISTINCT k) / 4096.0, 6)::DOUBLE AS ratio FROM ev")
 def space_ratio(spark, d):
-    return bloom.used_share(src.event_log(spark, d).where("k % 3 = 1").select((F.col("k") % 97).alias("bit")), 97)
+    return bloom.used_share(src.event_log(spark, d).select(F.col("k").alias("bit")), 4096)
 
 
 @query("stream_latest", f"WITH {EV}, {NEWEST} SELECT k, v, flag, val FROM newest")

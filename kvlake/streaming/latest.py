@@ -7,12 +7,12 @@ filter it. Micro-batches are upserted into a Parquet folder of versions.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlake.folders import shared_folder
 from kvlake.operators.visible import newest
 from kvlake.sources.tables import DELETION, VALUE
 
@@ -36,8 +36,7 @@ def append_newest(out: str):
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through the stream at once; the newest record of each key over its runs."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kvlake-stream-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     job = event_stream(spark, sf_dir).writeStream.foreachBatch(append_newest(f"{folder}/runs")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return newest(spark.read.parquet(f"{folder}/runs"))

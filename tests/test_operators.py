@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kvlake.functions import bloom, hashes, scalars
 from kvlake.operators import batches, compaction, cursor, merge, ordered, recovery, visible
-from kvlake.sources.store import Store, StoreError
+
 
 LOG = "k string, v long, flag int, val string"
 HISTORY = [("aaa", 1, 0, "1"), ("aaa", 2, 1, "2"), ("aaa", 3, 0, "3")]
@@ -107,7 +107,14 @@ def test_scalars(spark):
     assert [value(scalars.align_up(n(x), 32)) for x in (0, 32, 31)] == [0, 32, 32]
     assert value(F.crc32(F.lit("123456789").cast("binary"))) == zlib.crc32(b"123456789")
     assert value(hashes.bkdr(F.lit("abc"))) == 1677554
-    assert value(scalars.shortest_separator(F.lit("abc1"), F.lit("abz"))) == "abd"
+    separator = lambda a, b: bytes(value(scalars.shortest_separator(F.lit(bytearray(a)), F.lit(bytearray(b)))))
+    assert [separator(a, b) for a, b in ((b"abc1", b"abz"), (b"a\xfe1", b"a\xff"), (b"ab", b"abc"), (b"a\xc3\x28", b"a\xe0"), (b"", b"x"), (b"\x00z", b"\x02"))] == [b"abd", b"a\xfe1", b"ab", b"a\xc4", b"", b"\x01"]
+    successor = lambda a: bytes(value(scalars.short_successor(F.lit(bytearray(a)))))
+    assert [successor(a) for a in (b"abc", b"\xff\xff", b"\xffab", b"", b"\xfe")] == [b"b", b"\xff\xff", b"\xffb", b"", b"\xff"]
+    for x in (0, 1, 127, 1 << 7, 1 << 14, 1 << 21, 1 << 28, 1 << 35, 1 << 42, 1 << 49, 1 << 58, (1 << 63) - 1):
+        coded = bytes(value(scalars.varint_encode(n(x))))
+        plain = [x >> 7 * i & 127 for i in range(max(1, -(-x.bit_length() // 7)))][::-1]
+        assert coded == bytes([*(b | 128 for b in plain[:-1]), plain[-1]]) and value(scalars.varint_decode(F.lit(bytearray(coded)))) == x
     assert value(hashes.bkdr(F.lit(""))) == 0
 
 
@@ -118,20 +125,54 @@ def test_bloom(spark):
     assert {r["s"] for r in bloom.test(asked, bits, 1024).where("present").collect()} == {"", "a", "b", "aaaaa", "cc"}
 
 
-def test_store(spark, tmp_path):
-    path = str(tmp_path / "store")
-    with pytest.raises(StoreError):
-        Store(spark, path)
-    store = Store(spark, path, create=True)
-    s1 = store.put(b"aaa", b"1")
-    s2 = store.write([("put", b"aaa", b"2"), ("put", b"bbb", b"x"), ("delete", b"zzz")])
-    store.delete(b"bbb")
-    again = Store(spark, path)
-    assert (again.get(b"aaa", s1), again.get(b"aaa"), again.get(b"bbb", s2), again.get(b"bbb"), again.get(b"nothing")) == (b"1", b"2", b"x", None, None)
-    assert again.write([]) == again.snapshot()
-    again.compact()
-    assert len(again.run_names()) == 1
-    assert [(bytes(r["k"]), bytes(r["val"])) for r in Store(spark, path).scan().collect()] == [(b"aaa", b"2")]
+TIED = [("a", 3, 0, "x", 1), ("a", 3, 1, "y", 0), ("a", 2, 0, "z", 2), ("b", 1, 0, "p", 1), ("b", 1, 0, "q", 0)]
+
+
+def test_ties_take_one_whole_record_as_a_merge_does(spark):
+    runs = spark.createDataFrame(TIED, LOG + ", run int")
+    by_run = [runs.where(F.col("run") == i).drop("run") for i in range(3)]
+    first = {}
+    for r in merge.merge(spark, by_run).orderBy("rank").collect():
+        first.setdefault(r["k"], (r["k"], r["v"], r["flag"], r["val"]))
+    assert {r["k"]: tuple(r) for r in visible.newest(runs).collect()} == first == {"a": ("a", 3, 1, "y"), "b": ("b", 1, 0, "q")}
+    assert {tuple(r) for r in visible.newest(runs.drop("run")).collect()} <= {t[:4] for t in TIED}
+    assert [tuple(r) for r in merge.merged_visible(spark, by_run).collect()] == [("b", 1, "q", 1)]
+
+
+def test_an_iterator_over_runs_hides_what_a_newer_run_deletes(spark):
+    runs = [log(spark, [("a", 1, 0, "1"), ("c", 2, 0, "2")]), log(spark, [("a", 3, 1, ""), ("b", 4, 0, "4")]), log(spark, [("c", 5, 0, "5")])]
+    assert [(r["k"], r["val"]) for r in merge.merged_visible(spark, runs).orderBy("rank").collect()] == [("b", "4"), ("c", "5")]
+    assert [(r["k"], r["val"]) for r in merge.merged_visible(spark, runs, 2).orderBy("rank").collect()] == [("a", "1"), ("c", "2")]
+    assert merge.merged_visible(spark, []).count() == 0
+
+
+def test_hot_keys_give_the_same_rows(spark):
+    rows = log(spark, [("hot", i, int(i % 50 == 49), str(i)) for i in range(400)] + [(f"k{i}", 400 + i, 0, "") for i in range(30)])
+    for f in (lambda n: compaction.collect_garbage(rows, 200, hot_rows=n), lambda n: compaction.merge_inputs(rows, hot_rows=n)):
+        few, many = ({tuple(r) for r in f(n).collect()} for n in (30, ordered.HOT_ROWS))
+        assert few == many and len(few) >= 30
+    plan = compaction.collect_garbage(rows, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_neighbours_and_previous_values_over_partitions(spark):
+    rows = spark.range(500).select(F.lpad((F.col("id") * 7919 % 500).cast("string"), 3, "0").alias("k")).repartition(9)
+    got = {r["k"]: (r["prev_k"], r["next_k"]) for r in cursor.walk(rows).collect()}
+    assert got == {f"{i:03}": (f"{i - 1:03}" if i else None, f"{i + 1:03}" if i < 499 else None) for i in range(500)}
+    versions = log(spark, [(f"k{i % 3}", i, 0, str(i)) for i in range(90)]).repartition(7)
+    assert {r["v"]: r["previous"] for r in visible.previous_values(versions).collect()} == {i: str(i - 3) if i >= 3 else None for i in range(90)}
+
+
+def test_upserts(spark):
+    done = visible.upserts(log(spark, HISTORY), log(spark, [("aaa", 2, 0, "x"), ("aaa", 9, 0, "y")]))
+    assert {(r["v"], r["already_existed"], r["old_value"]) for r in done.collect()} == {(2, True, "2"), (9, False, None)}
+
+
+def test_replay_stops_at_the_first_bad_checksum(spark):
+    records = spark.createDataFrame([(i, f"r{i}") for i in range(10)], "pos long, payload string").withColumn("crc", recovery.checksum())
+    torn = records.withColumn("payload", F.when(F.col("pos") == 6, "rx").otherwise(F.col("payload")))
+    assert [(r["payload"], r["v"]) for r in recovery.replay(torn, 40).orderBy("pos").collect()] == [(f"r{i}", 41 + i) for i in range(6)]
+    assert recovery.replay(records, 0).count() == 10
 
 
 def test_stream_replays_to_the_newest(spark):
