@@ -8,7 +8,8 @@ close pair is parted only if the split falls between two points further apart
 along the direction than twice the margin. Splits run on all nodes of all trees of
 a level at once, as grouped medians and a join. Vectors are compared by exact
 cosine with all others of their leaf, in tasks of bounded blocks: a node that can't
-be parted (most of it alike, and more than a leaf holds) is compared block by block, whole.
+be parted (most of it alike, and more than a leaf holds) is compared block by block, whole,
+as each of its vectors may link with each other and n_links counts them all.
 
 A pair found in several leaves counts in the first of them only, which both sides
 know from their lists of leaves; so links are counted without listing pairs, and
@@ -18,7 +19,7 @@ Defined cases: vectors that are null, empty, zero, or hold null or non-finite co
 vectors with a null label, link with nothing: n_links 0, component_id the vec_id;
 vectors of different dimension don't link; rows with equal vectors and labels link
 with each other; rows of the same vec_id are vectors of their own; a null vec_id is
-never a component's id; an empty table gives no rows; other columns pass by unread.
+never a component's id; projections that tie with a median go to both sides; an empty table gives no rows; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from kvlake.llm.common import components, keep, table
 
 COSINE = 0.98
 TREES, LEAF, LEVELS, SEED = 5, 384, 24, 11
-#: Vectors of one side of a block; a task compares two blocks at most.
-BLOCK = 1024
+#: Vectors of one side of a block; a task compares two blocks at most, TILE by TILE vectors at once.
+#: A node that can't be parted sends each vector to one task for each of its blocks, so blocks are large.
+BLOCK, TILE = 8192, 1024
 #: The spill margin, in standard deviations of the projected difference of a pair at COSINE.
 SPILL = 1.0
 #: A node is not split if so much of it is within the margin of its median: it would go to both sides.
@@ -74,42 +76,67 @@ def _project(cosine: float):
     return project
 
 
+def _together(lists: list[list[int]], a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
+    """Which of the vectors a and b are in an earlier leaf together: there the pair has been counted. Leaves are looked at in bounded numbers."""
+    mine, theirs = ({v for i in at for v in lists[i] if v < leaf} for at in (a, b))
+    both = sorted(mine & theirs)
+    found = np.zeros((len(a), len(b)), bool)
+    for start in range(0, len(both), TILE):
+        number = {v: k for k, v in enumerate(both[start : start + TILE])}
+        member = [np.zeros((len(at), len(number)), np.float32) for at in (a, b)]
+        for side, at in zip(member, (a, b), strict=True):
+            for row, i in enumerate(at):
+                side[row, [k for v in lists[i] if (k := number.get(v)) is not None]] = 1
+        found |= member[0] @ member[1].T > 0
+    return found
+
+
+def _join_labels(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels (indices of rows) after the rows p and q are connected, each component's least index."""
+    while True:
+        x, y = label[p], label[q]
+        open_ = x != y
+        if not open_.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
 def _compare(cosine: float):
     def compare(group: pa.Table) -> pa.Table:
         """One pair of blocks of a leaf: for each class that links, the vectors it newly links with, and its local component."""
+        group = group.sort_by("cid")
         leaf, low, high = (group.column(c)[0].as_py() for c in ("leaf", "low", "high"))
         cid = group.column("cid").to_numpy()
         size = group.column("size").to_numpy().astype(np.int64)
         block = group.column("block").to_numpy()
         x = np.array(group.column("vec").to_pylist(), np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        close = x[a] @ x[b].T >= cosine
-        if low == high:
-            np.fill_diagonal(close, False)
-        # Leaves before this one that both are in: there the pair has been counted.
         lists = group.column("leaves").to_pylist()
-        earlier = sorted({v for own in lists for v in own if v < leaf})
-        number = {v: i for i, v in enumerate(earlier)}
-        member = np.zeros((len(cid), max(1, len(earlier))), np.float32)
-        for i, own in enumerate(lists):
-            member[i, [number[v] for v in own if v < leaf]] = 1
-        new = close & (member[a] @ member[b].T == 0)
-        links = np.zeros(len(cid), np.int64)
-        links[a] += new @ size[b]
-        if low != high:
-            links[b] += new.T @ size[a]
-        pa_, pb = np.nonzero(close)
-        p, q = a[pa_], b[pb]
-        least = cid.copy()
-        while len(p):
-            before = least.copy()
-            np.minimum.at(least, p, before[q])
-            np.minimum.at(least, q, before[p])
-            if np.array_equal(before, least):
-                break
-        linked = np.unique(np.concatenate([p, q]))
-        return pa.table({"cid": cid[linked], "links": links[linked], "least": least[linked]})
+        links, linked, label = np.zeros(len(cid), np.int64), np.zeros(len(cid), bool), np.arange(len(cid))
+        tiles = [np.split(at, range(TILE, len(at), TILE)) for at in (np.flatnonzero(block == low), np.flatnonzero(block == high))]
+        for i, a in enumerate(tiles[0]):
+            for j, b in enumerate(tiles[1]):
+                if low == high and j < i:
+                    continue
+                close = x[a] @ x[b].T >= cosine
+                same = low == high and i == j
+                if same:
+                    np.fill_diagonal(close, False)
+                pa_, pb = np.nonzero(close)
+                if not len(pa_):
+                    continue
+                linked[a[pa_]] = linked[b[pb]] = True
+                label = _join_labels(label, a[pa_], b[pb])
+                new = close & ~_together(lists, a, b, leaf)
+                links[a] += new @ size[b]
+                if not same:
+                    links[b] += new.T @ size[a]
+        at = np.flatnonzero(linked)
+        return pa.table({"cid": cid[at], "links": links[at], "least": cid[label[at]]})
 
     return compare
 

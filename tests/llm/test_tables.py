@@ -223,6 +223,27 @@ def test_projection_forest_against_all_pairs(spark, dim, n, labels):
     assert sum(got[i][1] == own[i] and got[i][2] == (own[i] == i) for i in range(n)) >= 0.99 * n
 
 
+def test_blocks_are_compared_tile_by_tile(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(embedding_dedup, "TILE", 7)
+    rng = np.random.default_rng(3)
+    n = 60
+    x = rng.standard_normal((n, 3))
+    size = rng.integers(1, 4, n)
+    lists = [sorted({99, *rng.integers(0, 200, 3).tolist()}) for _ in range(n)]
+    for low, high in ((0, 0), (0, 1)):
+        block = rng.integers(0, 2, n) if high else np.zeros(n, int)
+        got = embedding_dedup._compare(0.9)(pa.table({"leaf": [99] * n, "low": [low] * n, "high": [high] * n, "cid": np.arange(n) * 10, "size": size, "block": block, "vec": x.tolist(), "leaves": lists}))
+        y = x / np.linalg.norm(x, axis=1, keepdims=True)
+        pairs = [(i, j) for i in range(n) for j in range(n) if i != j and (block[i] != block[j] or not high) and y[i] @ y[j] >= 0.9]
+        links = Counter()
+        for i, j in pairs:
+            links[i] += 0 if {v for v in lists[i] if v < 99} & set(lists[j]) else int(size[j])
+        own = find_components(range(n), pairs)
+        assert {r["cid"]: (r["links"], r["least"]) for r in got.to_pylist()} == {10 * i: (links[i], 10 * own[i]) for i in {p[0] for p in pairs}}
+
+
 def test_projection_forest_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [nan, 1.0], 0), (5, [inf, 1.0], 0), (6, [None, 1.0], 0), (7, [1.0, 2.0], None), (8, [1.0, 2.0], 0), (9, [1.0, 2.0], 0), (10, [2.0, 4.0], 0), (11, [1.0, 2.0, 0.0], 0), (None, [1.0, 2.0], 0)]
@@ -232,7 +253,8 @@ def test_projection_forest_odd_rows(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_projection_forest_splits_a_large_alike_group(spark):
+def test_projection_forest_splits_a_large_alike_group(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 600)
     rng = np.random.default_rng(1)
     x = np.concatenate([np.ones((1500, 8)) + rng.standard_normal((1500, 8)) * 0.01, rng.standard_normal((300, 8))]).astype(np.float32)
     rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
