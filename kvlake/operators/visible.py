@@ -10,19 +10,22 @@ from kvlake.sources.tables import DELETION, VALUE
 
 #: Keys of a multi-get are broadcast up to this number; beyond it the join shuffles.
 BROADCAST_KEYS = 100_000
+#: Runs that one read may merge; with versions up to 2**50 the order key of version and run fits in 64 bits (beyond that Spark reports an overflow).
+MOST_RUNS = 1 << 12
 
 
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest record of each key with a version of at most the snapshot, deletions too.
 
-    One grouped maximum of whole records, with partial results before the shuffle. Of records
-    with equal key and version the one of the first run is taken (by `run`, where the log has
-    it), as in a merge; without runs a deletion, then the greatest value.
+    One grouped aggregation with partial results before the shuffle, hashed as all its buffers
+    are plain numbers (a struct would have the log sorted); all columns are taken by one order key,
+    so of one record. Of records with equal key and version the one of the first run is taken
+    (by `run`, where the log has it), as in a merge; without runs any one of them.
     """
     rows = log if snapshot is None else log.where(F.col("v") <= snapshot)
-    run = -F.col("run") if "run" in log.columns else F.lit(0)
-    top = rows.groupBy("k").agg(F.max(F.struct("v", run.alias("tie"), "flag", "val")).alias("top"))
-    return top.select("k", "top.v", "top.flag", "top.val")
+    order = F.col("v") * MOST_RUNS + (MOST_RUNS - 1 - F.col("run")) if "run" in log.columns else F.col("v")
+    columns = [F.max_by(c, order).alias(c) for c in ("flag", "val")]
+    return rows.groupBy("k").agg(F.max("v").alias("newest"), *columns).select("k", F.col("newest").alias("v"), "flag", "val")
 
 
 def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
