@@ -301,6 +301,22 @@ def test_secrets_and_personal_data(spark, odd, none):
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(1, "[SECRET]", 8), (2, None, None)}
 
 
+def test_whole_documents_with_clashing_columns(spark, odd, none):
+    b = spark.createDataFrame([(2, "same text twice with enough words to be a set of shingles")], "item_id long, text string")
+    docs = clashing(odd).withColumn("leaked_id", F.lit("x")).withColumn("item_id", F.lit("x")).withColumn("clean_text", F.lit("x"))
+    left = decontamination.decontaminate(docs, clashing(b))
+    assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter([1, 2, None, 3])
+    clean = secrets.redact_documents(docs)
+    assert clean.columns == docs.columns and clean.where("clean_text = 'x' and spans = 'x' and base = 'x'").count() == len(ODD)
+    told = {r["doc_id"]: r["clean_text"] for r in pii.sanitise(docs).collect()}
+    assert told[None].endswith("write to [EMAIL]") and told[1] is None and told[2] == ""
+    for f in (lambda d: decontamination.decontaminate(d, b), secrets.redact_documents, pii.sanitise, lambda d: ngram_join.keep_one(d)):
+        assert f(none).count() == 0
+    long = spark.createDataFrame([(1, "plain words of prose " * 100_000 + "pwd = xK9#mQ2$vL8w joe@x.org"), (2, "é" * 300_000)], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["spans"]) for r in secrets.find_secrets(long).collect()} == {1: 1, 2: 0}
+    assert {r["doc_id"]: len(r["spans"]) for r in pii.find_personal_data(long).collect()} == {1: 1, 2: 0}
+
+
 def test_terms_that_disclose(spark):
     rows = [(i, f"common words before zanzibar joe{i % 3}@x.org common words after") for i in range(12)] + [(100 + i, "common words here and before or after other words") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
