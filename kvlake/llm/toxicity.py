@@ -57,12 +57,12 @@ RATIO, EVIDENCE = 5.0, 30.0
 #: Rounds in which the sentences that stand for texts are chosen, and the weight of the machine's margin against its errors.
 ROUNDS, REGULAR = 4, 1e-5
 #: Share of a clean text's weight that its most toxic sentence has; all its sentences share the rest.
-HARD = 0.2
+HARD = 0.8
 #: Bounds up to which a document's toxic sentences count together, each a feature, and what is too faint to count.
-TOTALS, FAINT = (1.0, 2.0, 3.0, 5.0), 0.45
+TOTALS, FAINT = (1.0, 1.5, 2.0, 3.0), 0.3
 THRESHOLD = 0.5
 #: Weight of all clean texts against all toxic ones when scores are calibrated, and the penalty of squared weights.
-CLEAN, RIDGE = 2.0, 1e-3
+CLEAN, RIDGE = 2.0, 1e-4
 #: Margins are clipped to this range before calibration.
 CLIP = (-2.0, 4.0)
 #: Words known to be like no landmark are remembered up to this number in a task (8 bytes each).
