@@ -126,7 +126,7 @@ cddl | 4 | cddl | \bcddl\b
 cpl-1.0 | 2 | common public licen | made available under the terms of the common public licen[sc]e v ?1\.0
 cpl | 4 | common public licen | \bcommon public licen[sc]e\b
 ipl | 4 | ibm public licen | \bibm public licen[sc]e\b
-eupl | 2 | european union public licen | licen[sc]ed under the eupl,? version
+eupl | 2 | under the eupl | licen[sc]ed under the eupl,? version
 eupl | 4 | european union public licen | \beuropean union public licen[sc]e\b
 eupl | 5 | eupl | \beupl\b
 artistic | 2 | artistic licen | under the terms of (?:either .{0,80})?the (?:perl )?artistic licen[sc]e
@@ -134,7 +134,7 @@ artistic-2.0 | 4 | artistic licen | \bartistic licen[sc]e,? (?:version )?2(?:\.0
 artistic | 4 | artistic licen | \bartistic licen[sc]e\b
 perl | 2 | same terms as perl | under the same terms as perl itself
 boost-1.0 | 2 | boost software licen | distributed under the boost software licen[sc]e, version 1\.0
-boost | 2 | preparing derivative works | use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works
+boost | 2 | prepare derivative works | use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works
 boost | 3 | boost.org/license | boost\.org/license_1_0\.txt
 boost | 4 | boost software licen | \bboost software licen[sc]e\b
 zlib | 2 | origin of this software | the origin of this software must not be misrepresented; you must not claim that you wrote the original software
@@ -245,7 +245,8 @@ copyright | 5 | © | © ?(?:copyright )?[12][0-9]{3}
 copyright | 5 | (c) | \(c\) [12][0-9]{3}
 warranty | 5 | without warrant | \bwithout (?:any )?warrant(?:y|ies)(?: or conditions)? of any kind\b
 warranty | 5 | without any warranty | \bbut without any warranty\b
-warranty | 5 | as is | \bprovided [\"'“]?as[- ]is[\"'”]?
+warranty | 5 | as is | \bprovided [\"'“]?as is[\"'”]?
+warranty | 5 | as-is | \bprovided [\"'“]?as-is[\"'”]?
 spdx | 5 | spdx-license-identifier | spdx-license-identifier: ?[a-z0-9.+-]+
 licensed | 5 | licensed under | \blicensed under (?:the )?(?:terms of )?
 licensed | 5 | licenced under | \blicenced under (?:the )?(?:terms of )?
@@ -295,10 +296,10 @@ def rules() -> list[Rule]:
     for label in ("mit", "isc", "zlib", "unlicense", "0bsd", "psf", "ncsa", "wtfpl"):
         found.append(Rule(label, TAG, "spdx-license-identifier", rf"spdx-license-identifier: ?\(?{label}(?![a-z0-9])"))
     for parts in CC_PARTS:
-        code = "cc[ -]" + parts.replace("-", "[ -]")
         words = "[ -]".join(CC_WORDS[p] for p in parts.split("-"))
         found.append(Rule(f"cc-{parts}", TAG, "spdx-license-identifier", rf"spdx-license-identifier: ?\(?cc-{parts}-{CC_VERSION}", versioned=True))
         for keyword in ("cc by", "cc-by"):
+            code = keyword + parts[2:].replace("-", "[ -]")
             if parts != "by":
                 found.append(Rule(f"cc-{parts}", TITLE, keyword, rf"\b{code}(?![ -](?:sa|nd|nc)\b)\b"))
             found.append(Rule(f"cc-{parts}", GRANT, keyword, rf"\b{code}[ -]{CC_VERSION}(?![0-9]|\.[0-9])", versioned=True))
