@@ -39,6 +39,8 @@ TREES, LEAF, LEVELS, SEED = 5, 384, 24, 11
 #: Vectors of one side of a block; a task compares two blocks at most, TILE by TILE vectors at once.
 #: A node that can't be parted sends each vector to one task for each of its blocks, so blocks are large.
 BLOCK, TILE = 8192, 1024
+#: Keys over which the rows of a class are dealt.
+SALTS = 8
 #: The spill margin, in standard deviations of the projected difference of a pair at COSINE.
 SPILL = 1.0
 #: A node is not split if so much of it is within the margin of its median: it would go to both sides.
@@ -183,7 +185,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     heads = heads.groupBy("component").agg(F.min("first").alias("head"))
     named = joined.join(heads, "component").select(F.col("id").alias("cid"), "head")
     known = keep(classes.select("cid", "first", "size").join(linked, "cid", "left").join(named, "cid", "left"))
-    out = rows.select("vec_id", "cid").join(known, "cid", "left")
+    # A class of equal vectors may have a share of all rows: they are dealt over SALTS keys.
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.select("vec_id", "cid", F.pmod(F.xxhash64(F.lit("deal"), "vec_id"), F.lit(SALTS)).cast("int").alias("salt")).join(dealt, ["cid", "salt"], "left")
     component = F.coalesce("head", "first", "vec_id")
     return out.select(
         "vec_id",
